@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+from mendery.llm.chat import ORACLE_OP8, op8_chat_windows
+from mendery.llm.fingerprint import op6_multiset_fingerprints
 from mendery.llm.sharding import op5_hash_tree_shards
 
-QUERIES = {f.__name__: f for f in (op5_hash_tree_shards,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_hash_tree_shards,
+        op6_multiset_fingerprints,
+        op8_chat_windows,
+    )
+}
+ORACLES: dict[str, str] = {"op8_chat_windows": ORACLE_OP8}
