@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from mendery.llm.bpe_sql import op9_sql_bpe
 from mendery.llm.chat import ORACLE_OP8, op8_chat_windows
 from mendery.llm.fingerprint import op6_multiset_fingerprints
+from mendery.llm.packing import op3_best_fit_packing
 from mendery.llm.sharding import op5_hash_tree_shards
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_best_fit_packing,
         op5_hash_tree_shards,
         op6_multiset_fingerprints,
         op8_chat_windows,
+        op9_sql_bpe,
     )
 }
 ORACLES: dict[str, str] = {"op8_chat_windows": ORACLE_OP8}
