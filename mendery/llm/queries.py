@@ -7,6 +7,7 @@ from mendery.llm.chat import ORACLE_OP8, op8_chat_windows
 from mendery.llm.fingerprint import op6_multiset_fingerprints
 from mendery.llm.packing import op3_best_fit_packing
 from mendery.llm.sharding import op5_hash_tree_shards
+from mendery.llm.token_spans import op7_token_attribution
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +15,7 @@ QUERIES = {
         op3_best_fit_packing,
         op5_hash_tree_shards,
         op6_multiset_fingerprints,
+        op7_token_attribution,
         op8_chat_windows,
         op9_sql_bpe,
     )
