@@ -206,6 +206,30 @@ def identify(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
+def keep_identified(df: DataFrame, model: Model, least_score: float, chars: int = 1_000_000) -> DataFrame:
+    """The rows of `df`, all columns, whose text is in a learned language with at least this score; no shuffle."""
+    shared = _Shared(df.sparkSession, model)
+    at = df.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        score = _scorer(shared)
+        langs = shared.model.value.langs
+        for b in batches:
+            keep: list[bool] = []
+            for held in batches_of(((x or "",) for x in b.column(at).to_pylist()), chars):
+                if not langs:
+                    keep += [False] * len(held)
+                    continue
+                begin, end, of, m, _ = score([x[0] for x in held])
+                mass = np.stack([np.bincount(of, m[:, k] * (end - begin), len(held)) for k in range(len(langs))], axis=1)
+                keep += ((mass.sum(axis=1) > 0) & (mass.max(axis=1) >= least_score * mass.sum(axis=1))).tolist()
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def language_spans(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
     """The code-switched text's runs of one language: doc_id, start, end, lang, score (mean marginal of its words)."""
     shared = _Shared(df.sparkSession, model)

@@ -197,6 +197,23 @@ def score_documents(df: DataFrame, model: Model, chars: int = 1_000_000) -> Data
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_lines long")
 
 
+def keep_good(df: DataFrame, model: Model, least_score: float, chars: int = 1_000_000) -> DataFrame:
+    """The rows of `df`, all columns, whose text scores at least this; no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep: list[bool] = []
+            for held in batches_of(((x or "",) for x in b.column(at).to_pylist()), chars):
+                keep += (shared.value.score([x[0] for x in held]) >= least_score).tolist()
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def label_lines(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
     """Every line's probability to be good: doc_id, line, good."""
     shared = df.sparkSession.sparkContext.broadcast(model)

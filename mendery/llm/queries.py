@@ -28,4 +28,14 @@ QUERIES = {
         op10_crf_quality,
     )
 }
+
+
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {"op4_group_matrix_join": ORACLE_OP4, "op8_chat_windows": ORACLE_OP8}
