@@ -63,5 +63,6 @@ def accumulate(chunks: DataFrame, key: str, seq: str, chunk: str, last: str, idl
 def decode_stream(chunks: DataFrame, spec: Spec, key: str, seq: str, chunk: str, last: str, **more) -> DataFrame:
     """accumulate(), each text decoded as far as it has come: key, n_chunks, final, parsed."""
     keep = {k: more.pop(k) for k in ("idle", "ts", "max_chars") if k in more}
-    rows = accumulate(chunks, key, seq, chunk, last, **keep)
+    # Python functions need rows of a projection, not those that the state operator makes
+    rows = accumulate(chunks, key, seq, chunk, last, **keep).select("key", F.coalesce("text", F.lit("")).alias("text"), "n_chunks", "final")
     return rows.select("key", "n_chunks", "final", parse(F.col("text"), spec, allow_partial=True, **more).alias("parsed"))
