@@ -54,35 +54,36 @@ def boolean(text: Column) -> Column:
 def enum_value(text: Column, spec: Enum) -> Column:
     """Exact, unquoted, case-folded, then in the text; null if none or ambiguous."""
     ways = {v: v for v in spec.values} | spec.aliases
-    bare = F.trim(F.regexp_replace(F.trim(text), "^[\"']|[\"']$", ""))
-    out = None
-
-    def when(test: Column, value: str) -> None:
-        nonlocal out
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-
-    for w, v in ways.items():
-        when((text == w) | (bare == w), v)
-    for w, v in ways.items():
-        if all(x == v or o.lower() != w.lower() for o, x in ways.items()):
-            when(F.lower(bare) == w.lower(), v)
-    plain = F.regexp_replace(text, r"\*", "")
     values = list(dict.fromkeys(ways.values()))
     words = {v: [w for w, x in ways.items() if x == v] for v in values}
-    any_of = lambda tests: F.greatest(*tests, F.lit(False))
-    exact = {v: any_of([_has(plain, w) for w in words[v]]) for v in values}
-    loose = {v: any_of([_has(plain, w, True) for w in words[v]]) & ~exact[v] for v in values}
-    n = lambda flags: sum((f.cast("int") for f in flags.values()), F.lit(0))
-    for v in values:
-        when((exact[v] & (n(exact) == 1)) | (loose[v] & (n(exact) == 0) & (n(loose) == 1)), v)
-    # several in exact case: the first if it stands in quotes
-    at = {v: F.least(*[F.nullif(F.regexp_instr(plain, F.lit(_whole(w))), F.lit(0)) for w in words[v]], F.lit(2**31 - 1)) for v in values}
-    first = F.least(*at.values(), F.lit(2**31 - 1))
-    for v in values:
-        for w in words[v]:
-            around = F.substr(plain, at[v] - 1, F.lit(len(w) + 2))
-            when((at[v] == first) & (first > 1) & (first < 2**31 - 1) & around.isin(*[a + w + b for a in "\"'" for b in "\"'"]), v)
-    return out
+
+    def choose(tests: list[tuple[Column, str]]) -> Column:
+        out = None
+        for test, v in tests:
+            out = F.when(test, F.lit(v)) if out is None else out.when(test, F.lit(v))
+        return out
+
+    bare = F.trim(F.regexp_replace(F.trim(text), "^[\"']|[\"']$", ""))
+    whole = choose([((text == w) | (bare == w), v) for w, v in ways.items()] + [(F.lower(bare) == w.lower(), v) for w, v in ways.items() if all(x == v or o.lower() != w.lower() for o, x in ways.items())])
+
+    def in_prose(plain: Column) -> Column:
+        # one search by value, in either case; exact ones are told by their place
+        at = {v: F.least(*[F.nullif(F.regexp_instr(plain, F.lit(_whole(w))), F.lit(0)) for w in words[v]], F.lit(2**31 - 1)) for v in values}
+        any_of = lambda tests: F.greatest(*tests, F.lit(False))
+        found = F.array(*[F.struct(at[v].alias("at"), any_of([_has(plain, w, True) for w in words[v]]).alias("loose")) for v in values])
+        return F.transform(F.array(F.struct(found.alias("f"), plain.alias("t"))), rule)[0]
+
+    def rule(x: Column) -> Column:
+        exact = F.size(F.filter(x["f"], lambda e: e["at"] < 2**31 - 1))
+        loose = F.size(F.filter(x["f"], lambda e: (e["at"] == 2**31 - 1) & e["loose"]))
+        first = F.array_min(F.transform(x["f"], lambda e: e["at"]))
+        hit = [(x["f"][i]["at"], x["f"][i]["loose"], v) for i, v in enumerate(values)]
+        only = [((exact == 1) & (p < 2**31 - 1) | (exact == 0) & (loose == 1) & q, v) for p, q, v in hit]
+        # several in exact case: the first if it stands in quotes
+        quoted = [((p == first) & (first > 1) & (first < 2**31 - 1) & F.substr(x["t"], p - 1, F.lit(len(w) + 2)).isin(*[a + w + b for a in "\"'" for b in "\"'"]), v) for p, _, v in hit for w in words[v]]
+        return choose(only + quoted)
+
+    return F.coalesce(whole, F.when(text.isNotNull(), F.transform(F.array(F.regexp_replace(text, r"\*", "")), in_prose)[0]))
 
 
 def _marks() -> tuple[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -85,11 +86,15 @@ def _string(n: Node, spec: String, ctx: Context) -> str:
 
 
 def _number(n: Node, spec: Number, ctx: Context) -> float:
-    if n.kind in ("num", "bool"):
-        return float(n.value)
-    if n.kind == "str":
-        return S.number(n.value)
-    raise Bad(f"{n.kind} is no number")
+    if n.kind not in ("num", "bool", "str"):
+        raise Bad(f"{n.kind} is no number")
+    try:
+        v = S.number(n.value) if n.kind == "str" else float(n.value)
+    except OverflowError:
+        v = math.inf
+    if not math.isfinite(v):
+        raise Bad("a number beyond a double")
+    return v
 
 
 def _bool(n: Node, spec: Bool, ctx: Context) -> bool:

@@ -21,6 +21,10 @@ class Unreadable(ValueError):
     pass
 
 
+_SPECIAL = {q: re.compile(rf"[\\{q}]") for q in "\"'`"}
+_STOPS = re.compile(r"[()\n,}\]/]")
+_LITERAL = re.compile(r"(?:null|true|false|-?\d+(?:\.\d+)?)(?=[{\[])")
+_BARE_KEY = re.compile(r"[:\n,}]")
 _QUOTES = "\"'`"
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
@@ -180,7 +184,7 @@ class Reader:
             node = self.string("key")
             return node.value if node.complete else None
         self.fix("quoted key")
-        stop = re.compile(r"[:\n,}]").search(self.text, self.pos)
+        stop = _BARE_KEY.search(self.text, self.pos)
         if not stop:
             self.pos = self.end
             return None
@@ -204,8 +208,14 @@ class Reader:
                     self.pos = close.end()
                     return Node("str", q + self.text[start + 1 : close.start()] + q)
         out, i = [], start
+        special = _SPECIAL[q]
         while i < self.end:
-            c = self.text[i]
+            m = special.search(self.text, i)
+            if not m:
+                out.append(self.text[i:])
+                break
+            out.append(self.text[i : m.start()])
+            i, c = m.start(), m[0]
             if c == "\\" and i + 1 < self.end:
                 e = self.text[i + 1]
                 if e == "u" and re.fullmatch(r"[0-9a-fA-F]{4}", self.text[i + 2 : i + 6]):
@@ -266,12 +276,16 @@ class Reader:
         """An unquoted value. In an object it runs on over lines and commas until a new key or the object's end."""
         start, i, depth = self.pos, self.pos, 0
         text = self.text
-        m = re.compile(r"(?:null|true|false|-?\d+(?:\.\d+)?)(?=[{\[])").match(text, start)
+        m = _LITERAL.match(text, start)
         if m:
             self.pos = m.end()
             return sniff(m[0])
         while i < self.end:
-            c = text[i]
+            m = _STOPS.search(text, i)
+            if not m:
+                i = self.end
+                break
+            i, c = m.start(), m[0]
             if c == "(":
                 depth += 1
             elif c == ")":
@@ -294,8 +308,6 @@ class Reader:
             i += 1
         word = text[start:i].strip()
         self.pos = i
-        if within == "arr" and word and i >= self.end and word[-1:] == ")":
-            pass
         node = sniff(word)
         if node.kind == "str":
             self.fix("quoted value")

@@ -1,7 +1,7 @@
 """parse(): a text column to a typed column.
 
 Valid JSON whose values already have the target's types is decoded by native
-expressions. Only the other texts reach the kernel, once for each distinct text
+expressions. Only other texts reach the kernel, once for each distinct text
 of an Arrow batch; it answers with canonical JSON, which native from_json types.
 """
 
@@ -46,61 +46,54 @@ def _path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def native(v: Column, spec: Spec) -> tuple[Column, Column] | None:
-    """(fits, value) of a VARIANT that needs no coercion, or nothing if the type isn't native."""
+def native(v: Column, spec: Spec) -> Column | None:
+    """Whether a VARIANT needs no coercion, or nothing if the type isn't native."""
     kind = F.schema_of_variant(v)
     if isinstance(spec, Number):
-        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, "$", "double")
+        # what a double can't hold is the kernel's to refuse
+        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (F.abs(F.try_variant_get(v, "$", "double")) < float("inf"))
     if isinstance(spec, String):
-        return kind == "STRING", F.try_variant_get(v, "$", "string")
+        return kind == "STRING"
     if isinstance(spec, Bool):
-        return kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")
+        return kind == "BOOLEAN"
     if isinstance(spec, Enum):
-        s = F.try_variant_get(v, "$", "string")
-        return (kind == "STRING") & s.isin(*spec.values), s
+        return (kind == "STRING") & F.try_variant_get(v, "$", "string").isin(*spec.values)
     if isinstance(spec, Nullable | Optional):
         inner = native(v, spec.item)
-        if inner is None or isinstance(spec.item, Enum):
-            return None
-        ok, value = inner
-        return (kind == "VOID") | ok, F.when(kind != "VOID", value)
+        return None if inner is None or isinstance(spec.item, Enum) else (kind == "VOID") | inner
     if isinstance(spec, Array):
-        if native(F.lit(None).cast("variant"), spec.item) is None:
+        if native(v, spec.item) is None:
             return None
-        items = F.try_variant_get(v, "$", "array<variant>")
-        return kind.startswith("ARRAY") & F.forall(items, lambda x: native(x, spec.item)[0]), F.transform(items, lambda x: native(x, spec.item)[1])
+        return kind.startswith("ARRAY") & F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda x: native(x, spec.item))
     if isinstance(spec, Map):
-        if not isinstance(spec.key, String) or native(F.lit(None).cast("variant"), spec.value) is None:
+        if not isinstance(spec.key, String) or native(v, spec.value) is None:
             return None
-        m = F.try_variant_get(v, "$", "map<string,variant>")
-        return kind.startswith("OBJECT") & F.forall(F.map_values(m), lambda x: native(x, spec.value)[0]), F.transform_values(m, lambda _, x: native(x, spec.value)[1])
+        return kind.startswith("OBJECT") & F.forall(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: native(x, spec.value))
     if isinstance(spec, Struct):
         return _native_struct(v, kind, spec)
     return None
 
 
-def _native_struct(v: Column, kind: Column, spec: Struct) -> tuple[Column, Column] | None:
-    oks, values = [], []
-    for f in spec.fields:
-        at = F.try_variant_get(v, _path(f.name), "variant")
-        got = native(at, f.spec)
-        if got is None or f.done or f.not_null:
-            return None
-        ok, value = got
-        missing = F.lit(isinstance(f.spec, Optional))
-        oks.append(F.when(at.isNull(), missing).otherwise(ok))
-        values.append(value.alias(f.name))
-    if not values:
+def _native_struct(v: Column, kind: Column, spec: Struct) -> Column | None:
+    if not spec.fields or any(f.done or f.not_null or native(v, f.spec) is None for f in spec.fields):
         return None
     # another key that could mean a field is the kernel's business
     names = [f.name for f in spec.fields]
     like = sorted({squeeze(n) for f in spec.fields for n in (f.name, *f.aliases, *FIELD_NAMES.get(f.name.lower(), ()))})
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    clear = F.forall(keys, lambda k: k.isin(*names) | ~F.lower(F.regexp_replace(k, r"[-_\s]", "")).isin(*like))
-    ok = kind.startswith("OBJECT") & clear
-    for x in oks:
-        ok = ok & x
-    return ok, F.struct(*values)
+    ok = kind.startswith("OBJECT") & F.forall(keys, lambda k: k.isin(*names) | ~F.lower(F.regexp_replace(k, r"[-_\s]", "")).isin(*like))
+    for f in spec.fields:
+        at = F.try_variant_get(v, _path(f.name), "variant")
+        ok = ok & F.coalesce(native(at, f.spec), F.lit(isinstance(f.spec, Optional)))
+    return ok
+
+
+def fits(text: Column, spec: Spec) -> Column | None:
+    """Whether a text is valid JSON whose values have the target's types; nothing if the type isn't native."""
+    if native(F.lit(None).cast("variant"), spec) is None:
+        return None
+    # through an array, so that the text is parsed once
+    return F.coalesce(F.transform(F.array(N.strict_json(text)), lambda v: native(v, spec))[0], F.lit(False))
 
 
 def result_type(spec: Spec) -> T.StructType:
@@ -115,19 +108,18 @@ def parse(col: Column | str, spec: Spec, native_tier: bool = True, **options) ->
     """
     opts = Options(**options)
     text = F.col(col) if isinstance(col, str) else col
-    v = N.strict_json(text)
-    plain = native(v, spec) if native_tier else None
-    fits = F.coalesce(plain[0], F.lit(False)) if plain else F.lit(False)
-    r = kernel_udf(spec, opts)(F.when(~fits, text) if plain else text)
-    typed = F.from_json(r["json"], result_type(spec))["v"]
-    value = F.when(fits, plain[1]).otherwise(typed) if plain else typed
+    clean = fits(text, spec) if native_tier else None
+    r = kernel_udf(spec, opts)(F.when(~clean, text) if clean is not None else text)
+    # the kernel gives nothing for texts that it was not given
+    given = r["ok"].isNotNull() | text.isNull() if clean is not None else F.lit(True)
+    ok = F.coalesce(r["ok"], ~given)
     return F.struct(
-        value.alias("value"),
-        (fits | F.coalesce(r["ok"], F.lit(False))).alias("ok"),
-        F.when(~fits, F.coalesce(r["error"], F.when(text.isNull(), F.lit("no text")))).alias("error"),
-        F.when(fits, F.lit("json")).otherwise(r["strategy"]).alias("strategy"),
-        F.when(fits, F.array().cast("array<string>")).otherwise(r["fixes"]).alias("fixes"),
-        (fits | F.coalesce(r["complete"], F.lit(False))).alias("complete"),
+        F.from_json(F.when(given, r["json"]).otherwise(F.concat(F.lit('{"v":'), text, F.lit("}"))), result_type(spec))["v"].alias("value"),
+        ok.alias("ok"),
+        F.coalesce(r["error"], F.when(text.isNull(), F.lit("no text"))).alias("error"),
+        F.when(given, r["strategy"]).otherwise(F.lit("json")).alias("strategy"),
+        F.when(given, r["fixes"]).otherwise(F.array().cast("array<string>")).alias("fixes"),
+        F.coalesce(r["complete"], ~given).alias("complete"),
         F.from_json(r["checks"], "map<string,boolean>").alias("checks"),
     )
 
