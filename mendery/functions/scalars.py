@@ -143,5 +143,5 @@ def strict_json(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    items = F.try_variant_get(listed, "$", "array<variant>")
-    return F.when(named.isNotNull() & (F.size(items) == 1), F.get(items, F.lit(0)))
+    only = named.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(only, F.try_variant_get(listed, "$[0]", "variant"))

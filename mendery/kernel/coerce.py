@@ -156,7 +156,20 @@ def squeeze(k: str) -> str:
 
 
 def match_field(key: str, spec: Struct) -> Any:
-    """The field that a key means: exact, trimmed, case-folded, by its other names, then without separators."""
+    """The field that a key means, remembered with the type for a few thousand keys."""
+    known = spec.__dict__.get("_known")
+    if known is None:
+        known = {}
+        object.__setattr__(spec, "_known", known)
+    if key not in known:
+        if len(known) > 4000:
+            known.clear()
+        known[key] = find_field(key, spec)
+    return known[key]
+
+
+def find_field(key: str, spec: Struct) -> Any:
+    """Exact, trimmed, case-folded, by its other names, then without separators."""
     t = key.strip()
     tests = (
         lambda f: f.name == key,

@@ -76,6 +76,12 @@ class Reader:
 
     def skip(self) -> str:
         """Past white space and comments; the next character, or nothing at the end."""
+        c = self.text[self.pos : self.pos + 1]
+        if c == " ":
+            self.pos += 1
+            c = self.text[self.pos : self.pos + 1]
+        if c != "/" and not c.isspace():
+            return c
         at = _NOISE.match(self.text, self.pos).end()
         if "/" in self.text[self.pos : at]:
             self.fix("removed comment")
@@ -331,14 +337,18 @@ class _Pairs(list):
     pass
 
 
+def _refuse(name: str):
+    raise Unreadable(name)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_constant=_refuse)
+
+
 def strict(text: str) -> Node:
     """The value of valid JSON text, duplicate keys kept."""
 
-    def refuse(name: str):
-        raise Unreadable(name)
-
     try:
-        return of(json.loads(text, object_pairs_hook=_Pairs, parse_constant=refuse))
+        return of(_DECODER.decode(text))
     except RecursionError as e:
         raise Unreadable("nested too deeply") from e
 
