@@ -1,6 +1,7 @@
 """Every query against its DuckDB SQL; the native tier against the kernel."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ from mendery.kernel import scalars as S
 from mendery.operators.decode import parse
 from mendery.plans.catalogue import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
