@@ -10,16 +10,19 @@ group is opened for another:
   corpus' frequent tokens last. Members that link share at least
   l = 1 + size / 50 tokens of prefixes of (size - least overlap + l), so groups
   that share fewer cannot link.
-- Each group stores its union as counts by 128 ranges of the hash (the largest
-  count of its members). The sum of the lesser counts bounds any overlap.
+- Each group stores its union as counts by ranges of the hash, one for about
+  four tokens (the largest count of its members). The sum of the lesser counts
+  bounds any overlap.
 
 Opened groups' members are compared exactly. Only connections matter for
-components: frequent matrix tokens first link each group to one pivot group, then
-only groups whose members are not yet in one component are compared. Every pair
-of nodes that links is so either compared or already connected.
+components: first each group is compared with one group that may link, and with a
+pivot group for each frequent matrix token; then only groups whose members are
+not yet in one component are compared. Every pair of nodes that links is so
+either compared or already connected.
 
 Sets are made anew from the texts whenever they are needed (five scans) instead
-of being stored: shuffles carry prefixes, and sets of groups that are opened.
+of being stored: shuffles carry prefixes, and the compressed texts of groups that
+are opened, which are a third of their sets' size.
 """
 
 from __future__ import annotations
@@ -29,16 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read
+from mendery.llm.common import arrow_rows, batches_of, cut, read, release, small_batches
 from mendery.llm.components import connected
 from mendery.llm.textvec import Texts, mix
 
-RANGES = 128
+FEWEST, MOST = 7, 13
+CHARS, MOST_KNOWN = 1_000_000, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Each text's sorted distinct k-word shingles as 64-bit hashes; with fewer words the whole sequence is one; without words none."""
+    if not texts:
+        return []
     t = Texts(texts)
     begin, end, of = t.words(lower=True)
     h = t.hashes(begin, end) if len(begin) else np.empty(0, np.uint64)
@@ -66,8 +72,8 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(mix(s ^ _STEP).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-def _sets(batches, k: int, chars: int = 1_000_000):
-    for held in batches_of(arrow_rows(batches, "doc_id", "text"), chars):
+def _sets(batches, k: int):
+    for held in batches_of(arrow_rows(batches, "doc_id", "text"), CHARS):
         yield list(zip([x[0] for x in held], shingle_sets([x[1] for x in held], k), strict=True))
 
 
@@ -174,6 +180,37 @@ def prefix(s: np.ndarray, freq: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate((light, s[heavy][order][: p - len(light)]))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by 2^7 to 2^13 equal ranges, about four tokens to each."""
+    bits = min(MOST, max(FEWEST, (len(s) // 4).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2" if len(s) < 65536 else "<u4")
+
+
+def stored(counts: np.ndarray) -> bytes:
+    return bytes([counts.itemsize]) + counts.tobytes()
+
+
+def loaded(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """The counts by fewer ranges."""
+    return counts.reshape(n, -1).sum(axis=1) if len(counts) > n else counts
+
+
+def merged(sketches: list[np.ndarray]) -> np.ndarray:
+    """For each range the largest count, by as many ranges as the coarsest has."""
+    n = min(map(len, sketches))
+    return np.max([folded(s, n) for s in sketches], axis=0).astype("<u4")
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """A bound on the overlap of sets with these sketches."""
+    n = min(len(a), len(b))
+    return int(np.minimum(folded(a, n), folded(b, n)).sum())
+
+
 def links(sets: list[np.ndarray], names: list[int], split: int, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among `sets`, or between the first `split` and the rest if split > 0."""
     n = np.array([len(s) for s in sets])
@@ -210,7 +247,7 @@ def links(sets: list[np.ndarray], names: list[int], split: int, percent: int) ->
     return out
 
 
-def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 48, group_tokens: int = 40_000, hot_posting: int = 64, frequent: int = 32, most_frequent: int = 300_000) -> DataFrame:
+def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 32, group_tokens: int = 20_000, hot_posting: int = 64, frequent: int = 32, most_frequent: int = 300_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `df`.
 
     Words are runs of characters but ASCII white space, with A-Z in lower case;
@@ -262,7 +299,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 4
             for _, s in sets:
                 if len(s) and (name := node_of(s)) not in seen:
                     seen.add(name)
-                    own.append((name, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes(), prefix(s, frequency(s, keys, counts, parts), percent).tobytes()))
+                    own.append((name, stored(sketch(s)), prefix(s, frequency(s, keys, counts, parts), percent).tobytes()))
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "sketch", "prefix"])
 
@@ -276,13 +313,14 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 4
             out = []
             for r in b.to_pylist():
                 tokens = np.frombuffer(r["prefix"][0], np.uint64) if len(r["prefix"]) == 1 else np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in r["prefix"]]))
-                most = np.max([np.frombuffer(s, "<u4") for s in r["sketch"]], axis=0)
-                out.append((r["grp"], r["node"], min(r["n"]), max(r["n"]), min(slack(x) for x in r["n"]), most.tobytes(), tokens.tobytes()))
+                whole = r["sketch"][0] if len(r["sketch"]) == 1 else stored(merged([loaded(s) for s in r["sketch"]]))
+                out.append((r["grp"], r["node"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes()))
             if out:
-                types = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "lo", "hi", "slack", "sketch", "tokens"])
+                types = (pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "lo", "hi", "total", "slack", "sketch", "tokens"])
 
-    groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, lo long, hi long, slack long, sketch binary, tokens binary"))
+    groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary"))
+    release(spark)
 
     # the matrix: a row for each token of a group's union, where two groups at least have the token
     def explode(batches):
@@ -297,22 +335,25 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 4
     matrix = groups.select("grp", "lo", "hi", "slack", "tokens").mapInArrow(explode, "token long, grp long, lo long, hi long, slack long")
     each = W.partitionBy("token")
     matrix = cut(matrix.withColumns({"many": F.count("*").over(each), "pivot": F.min("grp").over(each)}).filter("many > 1"))
+    release(spark)
 
     def bound(batches):
-        """Pairs of groups whose sketches allow a link."""
+        """Pairs of groups whose sketches allow a link; the one with fewer tokens first."""
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, RANGES) for i in (2, 3))
+                x, y = ([loaded(v) for v in b.column(i).to_pylist()] for i in (2, 3))
                 sizes = sum(b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                most = np.fromiter(map(most_shared, x, y), np.int64, len(x))
                 yield b.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * sizes))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        of = lambda s: groups.select(F.col("grp").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+        of = lambda s: groups.select(F.col("grp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("sketch", "lo", "hi", "total")])
         near = pairs.join(of("a"), "a").join(of("b"), "b").filter(f"100 * hi_a >= {percent} * lo_b AND 100 * hi_b >= {percent} * lo_a")
-        return near.select("a", "b", "sketch_a", "sketch_b", "lo_a", "lo_b").mapInArrow(bound, "a long, b long")
+        less = F.col("total_a") <= F.col("total_b")
+        first, second = (F.when(less, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+        return near.select(first.alias("a"), second.alias("b"), "sketch_a", "sketch_b", "lo_a", "lo_b").mapInArrow(bound, "a long, b long")
 
     def opened(pairs: DataFrame) -> DataFrame:
         """Links between the members of each pair of groups (of one group, if a = b)."""
@@ -329,53 +370,78 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 4
 
         def emit(batches):
             import pyarrow as pa
+            import zstandard
 
-            table = wanted_bits.value
+            table, pack = wanted_bits.value, zstandard.ZstdCompressor(level=3)
             seen: set[int] = set()
-            for sets in _sets(batches, k):
+            for held in batches_of(arrow_rows(batches, "doc_id", "text"), CHARS):
                 own = []
-                for _, s in sets:
+                for (_, text), s in zip(held, shingle_sets([x[1] for x in held], k), strict=True):
                     if len(s):
                         name = node_of(s)
                         i = name % bits
                         if (int(table[i // 64]) >> (i % 64)) & 1 and name not in seen:
                             seen.add(name)
-                            own.append((name, s.tobytes()))
+                            own.append((name, pack.compress(text.encode("utf-8", "surrogatepass"))))
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "text"])
 
-        full = docs.mapInArrow(emit, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")).join(wanted, "node")
-        packs = full.groupBy("grp").agg(F.collect_list("node").alias("nodes"), F.collect_list("tokens").alias("sets"))
-        side = lambda s: packs.select(F.col("grp").alias(s), F.col("nodes").alias(f"nodes_{s}"), F.col("sets").alias(f"sets_{s}"))
-        both = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), "b").select("nodes_a", "sets_a", "nodes_b", "sets_b")
-        alone = pairs.filter("a = b").select("a").join(side("a"), "a").select("nodes_a", "sets_a", F.lit(None).cast("array<long>").alias("nodes_b"), F.lit(None).cast("array<binary>").alias("sets_b"))
+        full = docs.mapInArrow(emit, "node long, text binary").groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")
+        packs = full.groupBy("grp").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
+        side = lambda s: packs.select(F.col("grp").alias(s), F.col("nodes").alias(f"nodes_{s}"), F.col("texts").alias(f"texts_{s}"))
+        # the smaller group of a pair travels to the larger one
+        both = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), "b").select("nodes_a", "texts_a", "nodes_b", "texts_b")
+        alone = pairs.filter("a = b").select("a").join(side("a"), "a").select("nodes_a", "texts_a", F.lit(None).cast("array<long>").alias("nodes_b"), F.lit(None).cast("array<binary>").alias("texts_b"))
 
         def compare(batches):
             import pyarrow as pa
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor()
+            known: dict[int, np.ndarray] = {}  # sets of late; a group comes with many others in a row
+            size = 0
+
+            def sets_of(names, texts):
+                nonlocal size
+                if size > MOST_KNOWN:
+                    known.clear()
+                    size = 0
+                new = [i for i, x in enumerate(names) if x not in known]
+                for i, s in zip(new, shingle_sets([unpack.decompress(texts[i]).decode("utf-8", "surrogatepass") for i in new], k), strict=True):
+                    known[names[i]] = s
+                    size += len(s)
+                return [known[x] for x in names]
 
             for b in batches:
                 out = []
                 for i in range(b.num_rows):
-                    na, sa, nb, sb = (b.column(c)[i].as_py() for c in range(4))
-                    sets = [np.frombuffer(s, np.uint64) for s in (*sa, *(sb or ()))]
-                    out += links(sets, [*na, *(nb or ())], len(sa) if nb else 0, percent)
+                    na, ta, nb, tb = (b.column(c)[i].as_py() for c in range(4))
+                    names = [*na, *(nb or ())]
+                    out += links(sets_of(names, [*ta, *(tb or ())]), names, len(na) if nb else 0, percent)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
         return both.unionByName(alone).mapInArrow(compare, "u long, v long")
 
-    # first: groups with themselves, and with the pivot of each of their frequent tokens
+    near = f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo"
+    pair = (F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b"), F.least("x.slack", "y.slack").alias("slack"))
+    few = matrix.filter(F.col("many") <= hot_posting)
+
+    # first: groups with themselves, with the pivot of each of their frequent tokens, and with one group of those that share enough
     alone = groups.filter(F.size("nodes") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    star = matrix.filter((F.col("many") > hot_posting) & (F.col("grp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("grp").alias("b")).distinct()
-    edges = cut(opened(alone.unionByName(bounded(star))))
+    pivots = matrix.filter((F.col("many") > hot_posting) & (F.col("grp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("grp").alias("b")).distinct()
+    alike = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND {near}")).select(*pair)
+    alike = bounded(alike.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b"))
+    one = alike.groupBy(F.greatest("a", "b").alias("hi")).agg(F.min(F.struct(F.least("a", "b").alias("lo"), "a", "b")).alias("p")).select("p.a", "p.b")
+    with small_batches(spark):
+        edges = cut(opened(alone.unionByName(bounded(pivots)).unionByName(one)))
+    release(spark)
     labels = connected(edges)
 
     # then: groups that share enough tokens and aren't in one component already
     own = groups.select("grp", F.explode("nodes").alias("node")).join(labels, "node", "left").groupBy("grp").agg(F.min(F.coalesce("label", "node")).alias("l1"), F.max(F.coalesce("label", "node")).alias("l2"))
     sig = own.select("grp", F.when(F.col("l1") == F.col("l2"), F.struct(F.lit(0).alias("kind"), F.col("l1").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id"))).alias("sig"))
     matrix = cut(matrix.join(sig, "grp"))
-    near = f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo"
-    pair = (F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b"), F.least("x.slack", "y.slack").alias("slack"))
     few = matrix.filter(F.col("many") <= hot_posting)
     shares = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND x.sig <> y.sig AND {near}")).select(*pair)
     hot = matrix.filter(F.col("many") > hot_posting)
@@ -384,7 +450,10 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 4
     wide = across.alias("k").join(hot.alias("x"), F.expr("k.token = x.token AND k.s = x.sig")).select(F.col("k.token").alias("t"), "z", F.struct("x.grp", "x.lo", "x.hi", "x.slack").alias("x"))
     wide = wide.join(hot.alias("y"), F.expr(f"t = y.token AND z = y.sig AND {near}")).select(*pair)
     counted = shares.unionByName(wide).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b")
-    edges = edges.unionByName(opened(bounded(counted)))
+    with small_batches(spark):
+        more = cut(opened(bounded(counted)))
+    release(spark)
+    edges = edges.unionByName(more)
     labels = connected(edges)
 
     final = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))

@@ -4,7 +4,7 @@ import numpy as np
 from oracle import rows as both
 
 from mendery.llm.components import connected
-from mendery.llm.jaccard_join import ORACLE_OP4, components, frequency, least_overlap, op4_group_matrix_join, prefix, shingle_sets, slack
+from mendery.llm.jaccard_join import ORACLE_OP4, components, frequency, least_overlap, loaded, merged, most_shared, op4_group_matrix_join, prefix, shingle_sets, sketch, slack, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +116,13 @@ def test_connected(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert all(found.get(x, x) == r for x, r in root.items())
+
+
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(2)
+    for n in (3, 500, 3000, 40000, 70000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**63, 2 * n, dtype=np.uint64))))
+        c = rng.integers(0, 2**63, 700, dtype=np.uint64)
+        x, y = loaded(stored(sketch(a))), loaded(stored(merged([sketch(b), sketch(np.unique(c))])))
+        assert most_shared(x, y) >= len(np.intersect1d(a, b)) and most_shared(x, x) == len(a)
