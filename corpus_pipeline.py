@@ -15,7 +15,7 @@ from mendery.llm import jaccard_join, langid, packing, quality
 from mendery.llm.common import crc_remainder, read, shared_checkpoints
 
 #: A text is rejected if it has no letters, or if its language holds less than this share of it.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
