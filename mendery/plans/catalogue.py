@@ -44,7 +44,6 @@ def grouped(c: str) -> Column:
 FENCE = "```"
 KV = t.struct(k=t.number)
 NATION = t.struct(n_nationkey=t.number, n_name=t.string)
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _NATION = "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name FROM nation"
 
 
