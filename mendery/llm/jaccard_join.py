@@ -41,6 +41,12 @@ CHARS, MOST_KNOWN = 1_000_000, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for hashes a sort is faster than numpy's table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Each text's sorted distinct k-word shingles as 64-bit hashes; with fewer words the whole sequence is one; without words none."""
     if not texts:
@@ -57,7 +63,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     out = []
     for a, c in zip(first.tolist(), n.tolist(), strict=True):
         if c >= k:
-            out.append(np.unique(s[a : a + c - k + 1]))
+            out.append(distinct(s[a : a + c - k + 1]))
         else:
             x = mix(h[a : a + 1] + np.uint64(c))
             for j in range(1, c):
@@ -265,6 +271,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
     docs = df.select("doc_id", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(_frequent(docs, k, frequent, most_frequent))
+    release(spark)
 
     def narrow(batches):
         import pyarrow as pa
@@ -312,7 +319,7 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
         for b in batches:
             out = []
             for r in b.to_pylist():
-                tokens = np.frombuffer(r["prefix"][0], np.uint64) if len(r["prefix"]) == 1 else np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in r["prefix"]]))
+                tokens = np.frombuffer(r["prefix"][0], np.uint64) if len(r["prefix"]) == 1 else distinct(np.concatenate([np.frombuffer(p, np.uint64) for p in r["prefix"]]))
                 whole = r["sketch"][0] if len(r["sketch"]) == 1 else stored(merged([loaded(s) for s in r["sketch"]]))
                 out.append((r["grp"], r["node"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes()))
             if out:
@@ -431,10 +438,10 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
     alone = groups.filter(F.size("nodes") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     pivots = matrix.filter((F.col("many") > hot_posting) & (F.col("grp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("grp").alias("b")).distinct()
     alike = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND {near}")).select(*pair)
-    alike = bounded(alike.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b"))
-    one = alike.groupBy(F.greatest("a", "b").alias("hi")).agg(F.min(F.struct(F.least("a", "b").alias("lo"), "a", "b")).alias("p")).select("p.a", "p.b")
+    alike = alike.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack")
+    one = alike.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("p")).select("p.a", "b")
     with small_batches(spark):
-        edges = cut(opened(alone.unionByName(bounded(pivots)).unionByName(one)))
+        edges = cut(opened(alone.unionByName(bounded(pivots.unionByName(one).distinct()))))
     release(spark)
     labels = connected(edges)
 
