@@ -15,14 +15,15 @@ from mendery.types import Spec
 _OUT = "key string, text string, n_chunks long, final boolean"
 
 
-def accumulate(chunks: DataFrame, key: str, seq: str, chunk: str, last: str, idle: str = "10 minutes", ts: str = "ts", max_chars: int = 1_000_000) -> DataFrame:
+def accumulate(chunks: DataFrame, key: str, seq: str, chunk: str, last: str, idle: str = "10 minutes", ts: str = "ts", max_chars: int | None = None) -> DataFrame:
     """The text of each key so far after every micro-batch: key, text, n_chunks, final.
 
     `chunks` is a stream with a watermark on `ts`. Chunks are put together by
-    `seq`, however late they come; state holds those of open keys, at most
-    `max_chars` characters each. A text is final when the chunk marked `last` and
-    all before it are there, or when the key was idle for `idle` behind the
-    watermark; its state then goes.
+    `seq`, however late they come; state holds those of open keys. A text is final
+    when the chunk marked `last` and all before it are there, or when the key was
+    idle for `idle` behind the watermark; its state then goes. Texts are whole
+    whatever their length: a key whose chunks hold more than `max_chars` characters
+    fails the stream, None sets no limit.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -42,10 +43,12 @@ def accumulate(chunks: DataFrame, key: str, seq: str, chunk: str, last: str, idl
                 parts[int(i)] = t if isinstance(t, str) else ""
                 end = int(i) if fin else end
                 newest = max(newest, int(pd.Timestamp(when).timestamp() * 1000))
+        if max_chars is not None and (held := sum(map(len, parts.values()))) > max_chars:
+            raise ValueError(f"key {k[0]!r} holds {held} characters, more than max_chars = {max_chars}")
         run = []
         while len(run) in parts:
             run.append(parts[len(run)])
-        text = "".join(run)[:max_chars]
+        text = "".join(run)
         final = 0 <= end < len(run)
         if final:
             if state.exists:

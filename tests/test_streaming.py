@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from mendery import types as t
-from mendery.streaming import decode_stream
+from mendery.streaming import accumulate, decode_stream
 
 
 def test_chunks_over_batches(spark, tmp_path):
@@ -26,3 +28,20 @@ def test_chunks_over_batches(spark, tmp_path):
     assert final["a"] == (1.0, ["x", "y"])
     growing = [r.v for r in rows if r.key == "b" and not r.final and r.v]
     assert growing and growing[-1] == (2.0, ["p", "q"])
+
+
+def test_long_texts_are_whole_or_fail(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "key string, seq long, chunk string, last boolean, ts timestamp"
+    data = [("a", 0, "x" * 700_000, False, base), ("a", 1, "y" * 700_001, True, base), ("b", 0, "short", True, base)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, **limit):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+        q = accumulate(stream, "key", "seq", "chunk", "last", **limit).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {r.key: r.text for r in spark.table(name).filter("final").collect()}
+
+    assert run("unlimited") == {"a": "x" * 700_000 + "y" * 700_001, "b": "short"}
+    with pytest.raises(StreamingQueryException, match="max_chars"):
+        run("limited", max_chars=1_000_000)
