@@ -1,13 +1,16 @@
 """Homomorphic multiset hash of a text's paragraphs.
 
-A paragraph (line) hashes to a wide vector: four dense lanes of 64 bits and one
-of 256 sparse lanes of 16 bits. A fingerprint is the sum of its paragraphs'
+A paragraph (line) hashes to a wide vector: four dense lanes of 64 bits, and one
+of 256 sparse lanes of 16 bits at each level that takes it. Level 0 takes every
+paragraph, level j one in 4^j by its hash. A fingerprint is the sum of its paragraphs'
 vectors, modulo 2^64 and 2^16, and their number. Sums don't depend on order, so
 texts with the same paragraphs have the same fingerprint; a paragraph is
 inserted or deleted by adding or subtracting its vector, and the fingerprint of
 two texts put together is the sum of theirs. Dense lanes tell equality; each
-paragraph that only one of two texts has changes one sparse lane, so the number
-of unequal lanes estimates how many paragraphs differ.
+paragraph that only one of two texts has changes one sparse lane of a level, so
+the number of unequal lanes estimates how many paragraphs differ. It is read from
+the first level with at most `FULL` unequal lanes: with 12 levels, up to some
+10^9 differing paragraphs.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 from mendery.llm.common import arrow_rows, read
 
-DENSE, SPARSE = 4, 256
+DENSE, SPARSE, LEVELS = 4, 256, 12
+#: With more unequal lanes than this (about four differing paragraphs a lane) the next level tells more.
+FULL = 251
 
 
 class MultisetHash:
@@ -32,7 +37,7 @@ class MultisetHash:
 
     def __init__(self, text: str | None = None):
         self.dense = np.zeros(DENSE, np.uint64)
-        self.sparse = np.zeros(SPARSE, np.uint16)
+        self.sparse = np.zeros((LEVELS, SPARSE), np.uint16)
         self.count = 0
         if text is not None:
             self.update(text.split("\n"))
@@ -42,10 +47,16 @@ class MultisetHash:
         digests = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8 * DENSE + 8).digest() for p in paragraphs])
         v = np.frombuffer(digests, np.uint64).reshape(-1, DENSE + 1)
         dense = v[:, :DENSE].sum(axis=0, dtype=np.uint64)
-        lanes = np.bincount((v[:, DENSE] % np.uint64(SPARSE)).astype(np.int64), ((v[:, DENSE] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64) | 1, SPARSE)
-        sparse = (lanes.astype(np.int64) & 0xFFFF).astype(np.uint16)
         self.dense = self.dense + dense if sign > 0 else self.dense - dense
-        self.sparse = self.sparse + sparse if sign > 0 else self.sparse - sparse
+        x = v[:, DENSE]
+        for level in range(LEVELS):
+            # bits 0 to 7 are the lane, two of bits 8 to 29 for each level, bits 32 to 47 the value
+            x = x[(x >> np.uint64(8)) & np.uint64(4**level - 1) == 0] if level else x
+            if not len(x):
+                break
+            lanes = np.bincount((x % np.uint64(SPARSE)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64) | 1, SPARSE)
+            sparse = (lanes.astype(np.int64) & 0xFFFF).astype(np.uint16)
+            self.sparse[level] = self.sparse[level] + sparse if sign > 0 else self.sparse[level] - sparse
         self.count += sign * len(paragraphs)
         return self
 
@@ -60,16 +71,23 @@ class MultisetHash:
     __hash__ = None
 
     def hex(self) -> str:
-        return f"{self.count:08x}" + self.dense.astype(">u8").tobytes().hex() + self.sparse.astype(">u2").tobytes().hex()
+        """Count, dense lanes, level 0, and eight digits for each lane of the other levels that is not 0: level, lane, value."""
+        above = self.sparse[1:].ravel()
+        at = np.flatnonzero(above)
+        more = ((at + SPARSE) << 16 | above[at]).astype(">u4")
+        return f"{self.count:08x}" + self.dense.astype(">u8").tobytes().hex() + self.sparse[0].astype(">u2").tobytes().hex() + more.tobytes().hex()
 
     def likeness(self, other: MultisetHash) -> float:
         """1 less the estimated share of paragraphs that only one side has (Dice); 1 if the fingerprints are equal."""
         if self.count == other.count and (self.dense == other.dense).all():
             return 1.0
-        unequal = int((self.sparse != other.sparse).sum())
-        if unequal == SPARSE:
+        for level in range(LEVELS):
+            unequal = int((self.sparse[level] != other.sparse[level]).sum())
+            if unequal <= FULL:
+                break
+        else:
             return 0.0
-        differ = max(math.log1p(-unequal / SPARSE) / math.log1p(-1 / SPARSE), 1.0, abs(self.count - other.count))
+        differ = max(4**level * math.log1p(-unequal / SPARSE) / math.log1p(-1 / SPARSE), 1.0, abs(self.count - other.count))
         return max(0.0, 1.0 - differ / (self.count + other.count))
 
 

@@ -47,3 +47,14 @@ def test_odd_rows(spark):
     assert fingerprints(df.limit(0)).count() == 0
     lone = fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).first()
     assert lone.near_next == 1.0 and lone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_likeness_of_very_many_paragraphs():
+    for n, replaced in ((4500, 1500), (20_000, 2000), (20_000, 10_000), (300_000, 30_000)):
+        lines = [f"line {i}" for i in range(n)]
+        new = [f"new {i}" for i in range(replaced)]
+        whole, other = MultisetHash("\n".join(lines)), MultisetHash("\n".join(lines[: n - replaced] + new))
+        assert abs(whole.likeness(other) - (1 - replaced / n)) < 0.08, (n, replaced)
+        assert whole.likeness(MultisetHash("\n".join(f"other {i}" for i in range(n)))) < 0.3
+        assert MultisetHash("\n".join(lines)).update(lines[n - replaced :], -1).update(new) == other
+        assert MultisetHash("\n".join(lines[:1000])) + MultisetHash("\n".join(lines[1000:])) == whole
