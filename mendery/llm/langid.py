@@ -13,7 +13,7 @@ probability, and the score is its share.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,8 @@ from mendery.llm.crf import Crf, chains, fit
 from mendery.llm.textvec import LETTER, PieceCache, Texts, classes, mix
 
 CHAIN, SLOTS = 64, 1 << 17
+#: A gram is known to a language if it makes at least this share of the grams of its sample (strays of wrong labels do not).
+RARE = 1e-5
 
 
 @functools.cache
@@ -69,27 +71,46 @@ def features(t: Texts, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(slots), np.concatenate(words)
 
 
+def grams(t: Texts, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' letter trigrams, of shorter words the whole, and the word of each."""
+    size = np.maximum(end - begin - 2, 1)
+    of = np.repeat(np.arange(len(begin)), size)
+    at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    return t.hashes(at, np.minimum(at + 3, end[of])), of
+
+
 @dataclass
 class Model:
-    """Languages in order, feature weights and the chain's weights."""
+    """Languages in order, feature weights, the chain's weights and each language's known grams (sorted hashes)."""
 
     langs: list[str]
     weights: np.ndarray
     crf: Crf
+    known: list[np.ndarray] = field(default_factory=list)
 
     def emissions(self, t: Texts, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         slots, words = features(t, begin, end)
         return np.stack([np.bincount(words, self.weights[slots, k], len(begin)) for k in range(len(self.langs))], axis=1)
 
+    def evidence(self, t: Texts, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each word the number of grams known to each language, and of all its grams (last)."""
+        g, of = grams(t, begin, end)
+        found = [np.bincount(of, np.isin(g, x), len(begin)) for x in self.known]
+        return np.stack([*found, np.bincount(of, minlength=len(begin))], axis=1)
+
 
 def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, words_each: int = 240, seed: int = 7) -> Model:
     """A model from (language, text) rows. Of each text at most `words_each` words, evenly spread, take part."""
     langs = sorted({x[0] for x in samples})
     model = Model(langs, np.zeros((SLOTS, max(1, len(langs)))), Crf(max(1, len(langs))))
+    t, begin, end, of = letter_words([x[1] for x in samples])
+    label = np.array([langs.index(x[0]) for x in samples], np.int64)
+    for k in range(len(langs)):
+        own = label[of] == k
+        seen, times = np.unique(grams(t, begin[own], end[own])[0], return_counts=True)
+        model.known.append(seen[times >= RARE * times.sum()])
     if len(langs) < 2:
         return model
-    t, begin, end, of = letter_words([x[1] for x in samples])
-    label = np.array([langs.index(x[0]) for x in samples])
     n = np.bincount(of, minlength=len(samples))
     first = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
@@ -138,22 +159,28 @@ def train_on(df: DataFrame) -> Model:
     return train(sample(df))
 
 
-def _score(model: Model):
+def _score(model: Model, evidence: bool = False):
+    n_langs = len(model.langs)
+    width = n_langs + (n_langs + 1) * evidence
+
     def compute(pieces: list[str]):
         t = Texts(pieces)
         t.cps = _lower()[t.cps]
-        return model.emissions(t, t.starts[:-1], t.marks).ravel(), np.full(len(pieces), len(model.langs), np.int64)
+        values = model.emissions(t, t.starts[:-1], t.marks)
+        if evidence:
+            values = np.concatenate((values, model.evidence(t, t.starts[:-1], t.marks)), axis=1)
+        return values.ravel(), np.full(len(pieces), width, np.int64)
 
     cache = PieceCache(compute, most=2_000_000, dtype=np.float32)
 
     def run(texts: list[str]):
-        """Words, and their marginals, of all texts."""
+        """Words, their marginals, the texts, and with `evidence` the words' known grams, of all texts."""
         t, begin, end, of = letter_words(texts)
         if not len(begin):
-            return begin, end, of, np.empty((0, len(model.langs))), t
-        emit = cache.gather(cache.rows(t, begin, end)).reshape(-1, len(model.langs))
+            return begin, end, of, np.empty((0, n_langs)), t, np.empty((0, width - n_langs))
+        values = cache.gather(cache.rows(t, begin, end)).reshape(-1, width)
         starts, lengths = chains(np.bincount(of, minlength=len(texts)), CHAIN)
-        return begin, end, of, model.crf.marginals(emit, starts, lengths), t
+        return begin, end, of, model.crf.marginals(values[:, :n_langs], starts, lengths), t, values[:, n_langs:]
 
     return run
 
@@ -161,12 +188,12 @@ def _score(model: Model):
 _models: dict = {}
 
 
-def _scorer(shared):
+def _scorer(shared, evidence: bool = False):
     """The worker's scorer for a broadcast model."""
-    if shared.id not in _models:
+    if (shared.id, evidence) not in _models:
         _models.clear()
-        _models[shared.id] = _score(shared.model.value)
-    return _models[shared.id]
+        _models[shared.id, evidence] = _score(shared.model.value, evidence)
+    return _models[shared.id, evidence]
 
 
 class _Shared:
@@ -196,7 +223,7 @@ def identify(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
             n = np.zeros(len(held), np.int64)
             best, top = np.zeros(len(held), np.int64), np.zeros(len(held))
             if langs:
-                begin, end, of, m, _ = score([x[1] for x in held])
+                begin, end, of, m, _, _ = score([x[1] for x in held])
                 n = np.bincount(of, minlength=len(held))
                 mass = np.stack([np.bincount(of, m[:, k] * (end - begin), len(held)) for k in range(len(langs))], axis=1)
                 best, top = mass.argmax(axis=1), mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1e-12)
@@ -206,15 +233,19 @@ def identify(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
-def keep_identified(df: DataFrame, model: Model, least_score: float, chars: int = 1_000_000) -> DataFrame:
-    """The rows of `df`, all columns, whose text is in a learned language with at least this score; no shuffle."""
+def keep_identified(df: DataFrame, model: Model, least_score: float, least_known: float = 0.0, chars: int = 1_000_000) -> DataFrame:
+    """The rows of `df`, all columns, whose text is in a learned language; no shuffle.
+
+    The language has at least `least_score` of the text, and knows at least
+    `least_known` of the text's grams, however many languages there are.
+    """
     shared = _Shared(df.sparkSession, model)
     at = df.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        score = _scorer(shared)
+        score = _scorer(shared, evidence=True)
         langs = shared.model.value.langs
         for b in batches:
             keep: list[bool] = []
@@ -222,9 +253,11 @@ def keep_identified(df: DataFrame, model: Model, least_score: float, chars: int
                 if not langs:
                     keep += [False] * len(held)
                     continue
-                begin, end, of, m, _ = score([x[0] for x in held])
+                begin, end, of, m, _, seen = score([x[0] for x in held])
                 mass = np.stack([np.bincount(of, m[:, k] * (end - begin), len(held)) for k in range(len(langs))], axis=1)
-                keep += ((mass.sum(axis=1) > 0) & (mass.max(axis=1) >= least_score * mass.sum(axis=1))).tolist()
+                known = np.stack([np.bincount(of, seen[:, k], len(held)) for k in range(len(langs) + 1)], axis=1)
+                own = known[np.arange(len(held)), mass.argmax(axis=1)]
+                keep += ((mass.sum(axis=1) > 0) & (mass.max(axis=1) >= least_score * mass.sum(axis=1)) & (own >= least_known * known[:, -1])).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -240,7 +273,7 @@ def language_spans(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataF
         score = _scorer(shared)
         langs = shared.model.value.langs
         for held in batches_of(arrow_rows(batches, "doc_id", "text"), chars):
-            begin, end, of, m, t = score([x[1] for x in held])
+            begin, end, of, m, t, _ = score([x[1] for x in held])
             if not len(begin):
                 continue
             k = m.argmax(axis=1)

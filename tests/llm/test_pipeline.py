@@ -1,4 +1,5 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,3 +54,16 @@ def test_odd_rows_pass_the_stages(spark):
     assert corpus_pipeline.good_quality(spark, docs, SF).count() <= len(data)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_foreign_and_junk_texts_go(spark):
+    docs = read(spark, SF, "documents")
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 5, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 5, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5, "xq zvkw qqj wpxz kjhg fdsz qwrt zxcv plmk njhb vgfc " * 5, "zzzz"]
+    odd = spark.createDataFrame([(-1 - i, x, None, None, None) for i, x in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+    # the fewer languages, the more a share alone lets through: a language left out goes all the same
+    for lang, least in (("de", 0.9), ("fr", 0.9)):
+        model = langid.train_on(docs.filter(F.col("lang") != lang))
+        left_out = docs.filter(F.col("lang") == lang)
+        assert langid.keep_identified(left_out, model, corpus_pipeline.LEAST_SHARE, corpus_pipeline.LEAST_KNOWN).count() <= (1 - least) * left_out.count()
