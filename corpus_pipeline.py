@@ -36,16 +36,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates (five words, 0.8).
 
-    A row without an id gets one from its text, larger than others. Repeated rows
-    leave one. Texts without words link with nothing and stay.
+    A row without an id gets one from its text, larger than others. Rows are told
+    apart by id and text, so one id may stand on several texts; equal ids go by a
+    hash of both. Repeated rows leave one. Texts without words link with nothing
+    and stay.
     """
     own = F.coalesce(F.col("doc_id"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
-    named = docs.withColumn("_id", own)
-    found = jaccard_join.components(named.select(F.col("_id").alias("doc_id"), "text"), k=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = named.join(gone, "_id", "left_anti")
-    # both sides of the join are dealt by _id, which serves this too
-    return left.dropDuplicates(["_id", "text"]).select(*docs.columns)
+    named = docs.withColumn("_id", own).withColumn("_key", F.xxhash64("_id", "text"))
+    found = jaccard_join.components(named.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=80).distinct()
+    ids = named.groupBy(F.col("_key").alias("doc_id")).agg(F.min("_id").alias("_id"))
+    first = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("_id", "doc_id")).alias("first"))
+    left = named.join(first.select(F.col("first.doc_id").alias("_key")), "_key", "left_semi")
+    # both sides of the join are dealt by _key, which serves this too
+    return left.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

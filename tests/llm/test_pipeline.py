@@ -67,3 +67,16 @@ def test_foreign_and_junk_texts_go(spark):
         model = langid.train_on(docs.filter(F.col("lang") != lang))
         left_out = docs.filter(F.col("lang") == lang)
         assert langid.keep_identified(left_out, model, corpus_pipeline.LEAST_SHARE, corpus_pipeline.LEAST_KNOWN).count() <= (1 - least) * left_out.count()
+
+
+def test_one_id_on_several_texts(spark):
+    near = [" ".join(f"w{i}" for i in range(200)) + f" end{k}" for k in range(4)]
+    lone = " ".join(f"v{i}" for i in range(100))
+    data = [(3, near[0]), (5, near[1]), (5, lone), (9, "other words that nothing else has at all"), (9, "still more words that link with nothing")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {x for x in data if x != (5, near[1])}
+    # two near copies under the smallest id leave one
+    docs = spark.createDataFrame([(1, near[2]), (1, near[3]), (4, near[0])], "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert kept == [1]
