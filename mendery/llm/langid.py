@@ -16,7 +16,7 @@ import functools
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendery.llm.common import arrow_rows, batches_of, crc_remainder, read
@@ -140,18 +140,20 @@ def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, words
     return model
 
 
-def sample(df: DataFrame, per_lang: int = 250, most_langs: int = 64) -> list[tuple[str, str]]:
-    """About `per_lang` labelled rows of each of the `most_langs` most frequent languages, chosen by a hash of doc_id.
+def sample(df: DataFrame, per_lang: int = 250) -> list[tuple[str, str]]:
+    """About `per_lang` labelled rows of every language, chosen by a hash of doc_id.
 
-    Both bounds are parameters of the fit; at most twice `per_lang` rows a language are kept.
+    `per_lang` is a parameter of the fit; at most twice as many rows a language are kept.
     """
     rows = df.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()), reverse=True)[:most_langs]
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for n, lang in counts for x in (lang, min(1.0, per_lang / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_lang / n))])
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    kept = rows.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * per_lang * len(counts))
+    drawn = rows.filter(u < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text")))
+    kept = drawn.withColumn("place", place).filter(F.col("place") <= 2 * per_lang)
     return sorted((r["lang"], r["text"]) for r in kept.select("lang", "text").collect())
 
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from mendery.llm.crf import Crf, chains
-from mendery.llm.langid import identify, language_spans, op1_crf_language, train
+from mendery.llm.langid import identify, language_spans, op1_crf_language, sample, train
 
 SF = "/root/testdata/sf0.001"
 EN = "the quick brown fox jumps over the lazy dog while some people watch from the other side of this river "
@@ -62,3 +62,17 @@ def test_code_switched_text_and_odd_rows(spark):
     assert identify(df.limit(0), model).count() == 0
     none = train([])
     assert {r.lang_pred for r in identify(df, none).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    words = ["".join(chr(97 + (7 * i + 3 * j + i * j * k) % 26) for k in range(6)) for i in range(70) for j in range(5)]
+    rows = [(10 * i + n, f"l{i:02}", " ".join(words[5 * i : 5 * i + 5] * 3)) for i in range(70) for n in range(3 - (i == 0))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = sample(df)
+    assert sorted(got) == sorted((lang, text) for _, lang, text in rows)
+    # the bound on rows is each language's own: many rows of one take nothing from another
+    many = spark.createDataFrame([(i, "aa", "x") for i in range(2000)] + [(5000, "zz", "y")], "doc_id long, lang string, text string")
+    few = [lang for lang, _ in sample(many, per_lang=20)]
+    assert few.count("zz") == 1 and 1 <= few.count("aa") <= 40
+    found = {r.doc_id: r.lang_pred for r in identify(df.filter("lang = 'l00'"), train(got, steps=8)).collect()}
+    assert set(found.values()) == {"l00"}
