@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from mendery.llm.common import cut
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, label) of every node of `edges` (columns u and v, long): label is the smallest node of its component.
 
     Large and small stars in turn until nothing changes; each round is stored in
     the shared checkpoint folder. Rows stay distributed: the driver sees a
-    checksum for each round.
+    checksum for each round. With `most_rounds`, edges that haven't settled by then
+    are an error, as their labels would be unfinished.
     """
 
     def state(e: DataFrame):
@@ -22,9 +23,11 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(e)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    rounds = 0
+    while seen[0]:
+        if rounds == most_rounds:
+            raise RuntimeError(f"stars haven't settled in {most_rounds} rounds")
+        rounds += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

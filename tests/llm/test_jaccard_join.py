@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from oracle import rows as both
 
 from mendery.llm.components import connected
@@ -118,6 +119,13 @@ def test_connected(spark):
     assert all(found.get(x, x) == r for x, r in root.items())
 
 
+def test_connected_is_settled_or_fails(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settled"):
+        connected(chain, most_rounds=2)
+    assert {(r.node, r.label) for r in connected(chain).collect()} == {(i, 0) for i in range(301)}
+
+
 def test_sketches_bound_overlaps():
     rng = np.random.default_rng(2)
     for n in (3, 500, 3000, 40000, 70000):
