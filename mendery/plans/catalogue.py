@@ -431,6 +431,16 @@ def disc_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.try_variant_get(v, "$.type", "string").alias("type"), F.try_variant_get(v, "$.v", "double").alias("v"))
 
 
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS type, CASE WHEN event_type = 'click' THEN value END AS v, CASE WHEN event_type = 'view' THEN value END AS w, event_type IN ('click', 'view') AS ok FROM events")
+def disc_union_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """disc_union over all events: a tag that no option knows gives no value."""
+    spec = t.tagged("type", t.struct(type=t.literal("click"), v=t.number), t.struct(type=t.literal("view"), w=t.number))
+    text = F.concat(F.lit('{"Type": "'), F.upper("event_type"), F.when(F.col("event_type") == "click", F.lit('", "v": ')).otherwise('", "w": '), F.col("value").cast("string"), F.lit(",}"))
+    p = table(spark, sf_dir, "events").select("event_id", parse(text, spec).alias("p"))
+    v = F.col("p.value")
+    return p.select("event_id", F.try_variant_get(v, "$.type", "string").alias("type"), F.try_variant_get(v, "$.v", "double").alias("v"), F.try_variant_get(v, "$.w", "double").alias("w"), "p.ok")
+
+
 def any_json() -> t.Spec:
     return t.union(t.number, t.boolean, t.string, t.null, t.array(t.Lazy("any", any_json)), t.mapping(t.Lazy("any", any_json)))
 
