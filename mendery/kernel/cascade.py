@@ -10,7 +10,7 @@ from mendery.kernel import scalars as S
 from mendery.kernel.coerce import Context, coerce, compact
 from mendery.kernel.loads import Node, lenient, strict, without_tail
 from mendery.kernel.repair import repair
-from mendery.kernel.scalars import Ambiguous, Bad
+from mendery.kernel.scalars import Ambiguous, Bad, Broken
 from mendery.kernel.scan import candidates
 from mendery.types import Array, Bool, Check, Enum, Lazy, Literal, Map, Nullable, Number, Optional, Spec, String, Struct, Tagged, Union, core
 
@@ -70,6 +70,7 @@ def decode(text: str | None, spec: Spec, opts: Options = Options()) -> Result:
     ctx = Context(opts.allow_partial, opts.fabricate_defaults, opts.signed_numbers, text)
     fixing = opts.allow_fixes or bool(opts.allow_malformed)
     errors: list[str] = []
+    violations: set[str] = set()
 
     def done(value: Any, strategy: str, fixes: list[str] = (), complete: bool = True) -> Result:
         return Result(value, True, None, strategy, list(fixes), complete, dict(ctx.checks))
@@ -84,6 +85,8 @@ def decode(text: str | None, spec: Spec, opts: Options = Options()) -> Result:
             errors.append(f"ambiguous: {e}")
         except Bad as e:
             errors.append(str(e))
+            if isinstance(e, Broken):
+                violations.add(str(e))
         return None
 
     options = _unions(spec)
@@ -163,7 +166,8 @@ def decode(text: str | None, spec: Spec, opts: Options = Options()) -> Result:
     if opts.allow_as_string and not (found and _compound(spec)) and not (errors and errors[-1].startswith("ambiguous")):
         if got := tried(Node("str", text), [], "text"):
             return got
-    return Result(error=(errors or ["no strategy fits"])[-1][:500], complete=False)
+    error = (errors or ["no strategy fits"])[-1]
+    return Result(error=error if error in violations else error[:500], complete=False)
 
 
 def _wrappers(spec: Spec) -> list[Spec]:

@@ -10,8 +10,8 @@ from typing import Any
 
 from mendery.kernel import scalars as S
 from mendery.kernel.loads import Node, Unreadable, lenient, plain, strict
-from mendery.kernel.scalars import Ambiguous, Bad
-from mendery.types import Array, Bool, Check, Enum, Lazy, Literal, Map, Null, Nullable, Number, Optional, Spec, State, String, Struct, Tagged, Union, core
+from mendery.kernel.scalars import Ambiguous, Bad, Broken
+from mendery.types import Array, Bool, Check, Enum, Field, Lazy, Literal, Map, Null, Nullable, Number, Optional, Spec, State, String, Struct, Tagged, Union, core
 
 #: Other names of common fields: fixed values.
 FIELD_NAMES = {
@@ -247,31 +247,53 @@ def _struct(n: Node, spec: Struct, ctx: Context) -> dict:
         return {f.name: coerce(n, f.spec, ctx)}
     out = {}
     filling = ctx.partial and not n.complete
-    for f in spec.fields:
-        v = found.get(f.name)
-        if v is not None and f.done and not v.complete:
-            v = None
-            out[f.name] = None
-        elif v is not None:
+    broken: list[str] = []
+    before: dict[str, bool] = {}
+    try:
+        for f in spec.fields:
             try:
-                out[f.name] = coerce(v, f.spec, ctx)
-            except Bad as e:
-                if last[f.name] is not v:  # of repeated keys that make no array the last counts
-                    out[f.name] = coerce(last[f.name], f.spec, ctx)
-                elif ctx.partial and not v.complete:
-                    out[f.name] = default(f.spec)
-                else:
-                    raise Bad(f"{f.name}: {e}") from e
-        elif isinstance(f.spec, State):
-            out[f.name] = default(f.spec)
-        elif filling:
-            out[f.name] = default(f.spec)
-        elif _may_miss(f.spec):
-            out[f.name] = None
-        else:
-            raise Bad(f"{f.name} is missing")
-        if f.not_null and out[f.name] is None:
-            raise Bad(f"{f.name} is null")
+                out[f.name] = _field(found.get(f.name), last.get(f.name), f, filling, ctx)
+            except Broken as e:  # the other fields may break constraints too
+                before = before if broken else dict(ctx.checks)
+                broken += e.parts
+    except Bad as e:
+        if not broken:
+            raise
+        broken.append(str(e))
+    if broken:
+        # what fields after the first failure found isn't of a value
+        ctx.checks.clear()
+        ctx.checks.update(before)
+        raise Broken(broken)
+    return out
+
+
+def _field(v: Node | None, last: Node | None, f: Field, filling: bool, ctx: Context) -> Any:
+    """The value of a field found as `v`, or of one that misses."""
+    if v is not None and f.done and not v.complete:
+        out = None
+    elif v is not None:
+        try:
+            out = coerce(v, f.spec, ctx)
+        except Bad as e:
+            if last is not v:  # of repeated keys that make no array the last counts
+                out = coerce(last, f.spec, ctx)
+            elif ctx.partial and not v.complete:
+                out = default(f.spec)
+            elif isinstance(e, Broken):
+                raise Broken([f"{f.name}: {p}" for p in e.parts]) from e
+            else:
+                raise Bad(f"{f.name}: {e}") from e
+    elif isinstance(f.spec, State):
+        out = default(f.spec)
+    elif filling:
+        out = default(f.spec)
+    elif _may_miss(f.spec):
+        out = None
+    else:
+        raise Bad(f"{f.name} is missing")
+    if f.not_null and out is None:
+        raise Bad(f"{f.name} is null")
     return out
 
 
@@ -481,17 +503,24 @@ def _state(n: Node, spec: State, ctx: Context) -> dict:
 
 
 def _check(n: Node, spec: Check, ctx: Context) -> Any:
-    v = coerce(n, spec.item, ctx)
-    if v is None and isinstance(spec.item, Optional | Nullable):
-        return v
-    try:
-        ok = bool(spec.test(v))
-    except Exception:  # a predicate that can't take the value doesn't hold
-        ok = False
-    if spec.hard and not ok:
-        raise Bad(f"constraint {spec.name} fails")
-    if not spec.hard:
-        ctx.checks[spec.name] = ctx.checks.get(spec.name, True) and ok
+    chain = [spec]
+    while isinstance(chain[-1].item, Check):
+        chain.append(chain[-1].item)
+    v = coerce(n, chain[-1].item, ctx)
+    broken: list[str] = []
+    for c in reversed(chain):
+        if v is None and isinstance(c.item, Optional | Nullable):
+            continue
+        try:
+            ok = bool(c.test(v))
+        except Exception:  # a predicate that can't take the value doesn't hold
+            ok = False
+        if c.hard and not ok:
+            broken.append(f"constraint {c.name} fails")
+        if not c.hard and not broken:
+            ctx.checks[c.name] = ctx.checks.get(c.name, True) and ok
+    if broken:
+        raise Broken(broken)
     return v
 
 

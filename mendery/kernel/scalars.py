@@ -13,6 +13,14 @@ class Bad(ValueError):
     """A value that can't be what is asked for."""
 
 
+class Broken(Bad):
+    """A value that breaks hard constraints; `parts` has all of them, by field."""
+
+    def __init__(self, parts: list[str]):
+        super().__init__("; ".join(parts))
+        self.parts = parts
+
+
 class Ambiguous(Bad):
     """A text that names several values."""
 

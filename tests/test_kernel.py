@@ -182,3 +182,20 @@ def test_repair_leaves_strings_alone():
     assert json.loads(repair('[1, [2, {"a": "b')) == [1, [2, {"a": "b"}]]
     assert dedent("\n  a\n    b\n") == "a\n  b"
     assert plain(lenient('{"a": "\\u00e9\\ud83d\\ude42"}')[0]) == plain(strict('{"a": "\\u00e9\\ud83d\\ude42"}')) == {"a": "é🙂"}
+
+
+def test_every_broken_constraint_is_reported():
+    small = t.number.require("small", lambda x: x < 10)
+    spec = t.struct(a=small, b=t.string.require("named", lambda s: len(s) > 0), c=t.struct(d=small.require("even", lambda x: x % 2 == 0), e=small), f=t.number)
+    text = '{"a": %d, "b": "%s", "c": {"d": %d, "e": %d}%s}'
+    assert decode(text % (1, "x", 2, 3, ', "f": 1'), spec).ok
+    r = decode(text % (11, "", 13, 12, ', "f": 1'), spec)
+    assert not r.ok and r.error == "a: constraint small fails; b: constraint named fails; c: d: constraint small fails; c: d: constraint even fails; c: e: constraint small fails"
+    assert decode(text % (11, "x", 2, 3, ', "f": 1'), spec).error == "a: constraint small fails"
+    assert decode(text % (11, "x", 2, 3, ""), spec).error == "a: constraint small fails; f is missing"
+    many = t.struct(**{f"field_{i}": t.number.require(f"positive_{i}", lambda x: x > 0) for i in range(60)})
+    assert all(f"positive_{i} " in decode("{" + ", ".join(f'"field_{i}": -1' for i in range(60)) + "}", many).error for i in range(60))
+    # soft checks of an option that fails leave no trace
+    loose = t.struct(x=small, y=t.number.check("soft", lambda x: False))
+    r = decode('{"x": 50, "y": 1}', t.union(loose, t.struct(x=t.number, y=t.number)))
+    assert r.ok and r.checks == {}
