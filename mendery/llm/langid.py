@@ -4,10 +4,10 @@ Words are runs of letters, case-folded. A word's features are hashed: prefixes
 and suffixes of one to three letters, letter trigrams with word edges, and the
 whole word (the lexicon). Weights of features and transitions between the
 languages of neighbouring words are learned together, from chains spliced of
-spans of several documents so that they switch language. A whole text's words
-are labelled by forward-backward in chains of at most `CHAIN` words; the
-document's language is the one with most of the letters, weighted by marginal
-probability, and the score is its share.
+spans of several documents so that they switch language. A whole text is one
+chain, labelled by forward-backward; the document's language is the one with
+most of the letters, weighted by marginal probability, and the score is its
+share.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendery.llm.common import arrow_rows, batches_of, crc_remainder, read
-from mendery.llm.crf import Crf, chains, fit
+from mendery.llm.crf import Crf, chains, fit, whole
 from mendery.llm.textvec import LETTER, PieceCache, Texts, classes, mix
 
-CHAIN, SLOTS = 64, 1 << 17
+SLOTS = 1 << 17
 #: A gram is known to a language if it makes at least this share of the grams of its sample (strays of wrong labels do not).
 RARE = 1e-5
 
@@ -99,8 +99,8 @@ class Model:
         return np.stack([*found, np.bincount(of, minlength=len(begin))], axis=1)
 
 
-def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, words_each: int = 240, seed: int = 7) -> Model:
-    """A model from (language, text) rows. Of each text at most `words_each` words, evenly spread, take part."""
+def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, seed: int = 7) -> Model:
+    """A model from (language, text) rows. Whole texts take part, in spans of `span` words, shuffled into chains of 64."""
     langs = sorted({x[0] for x in samples})
     model = Model(langs, np.zeros((SLOTS, max(1, len(langs)))), Crf(max(1, len(langs))))
     t, begin, end, of = letter_words([x[1] for x in samples])
@@ -116,14 +116,12 @@ def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, words
     rng = np.random.default_rng(seed)
     spans = []
     for i in range(len(samples)):
-        k = max(1, min(words_each, int(n[i])) // span)
-        for a in np.linspace(0, max(0, int(n[i]) - span), k).astype(int):
-            spans.append(np.arange(first[i] + a, first[i] + min(a + span, n[i])))
+        spans += [np.arange(first[i] + a, first[i] + min(a + span, n[i])) for a in range(0, int(n[i]), span)]
     at = np.concatenate([spans[i] for i in rng.permutation(len(spans))])
     keys, where, word = np.unique(t.hashes(begin[at], end[at]), return_index=True, return_inverse=True)
     slots, words = features(t, begin[at][where], end[at][where])
     y = label[of[at]]
-    starts, lengths = chains(np.array([len(at)]), CHAIN)
+    starts, lengths = chains(np.array([len(at)]), 64)
 
     def emit():
         e = np.stack([np.bincount(words, model.weights[slots, k], len(keys)) for k in range(len(langs))], axis=1)
@@ -135,12 +133,12 @@ def train(samples: list[tuple[str, str]], steps: int = 60, span: int = 24, words
             g[:, k] = np.bincount(slots, np.bincount(word, left[:, k], len(keys))[words], SLOTS)
         return {"weights": (model.weights, g)}
 
-    fit(model.crf, emit, grad, y, starts, lengths, steps)
+    fit(model.crf, emit, grad, y, starts, lengths, steps, block=64)
     model.weights = model.weights.astype(np.float32)
     return model
 
 
-def sample(df: DataFrame, per_lang: int = 250) -> list[tuple[str, str]]:
+def sample(df: DataFrame, per_lang: int = 150) -> list[tuple[str, str]]:
     """About `per_lang` labelled rows of every language, chosen by a hash of doc_id.
 
     `per_lang` is a parameter of the fit; at most twice as many rows a language are kept.
@@ -181,7 +179,7 @@ def _score(model: Model, evidence: bool = False):
         if not len(begin):
             return begin, end, of, np.empty((0, n_langs)), t, np.empty((0, width - n_langs))
         values = cache.gather(cache.rows(t, begin, end)).reshape(-1, width)
-        starts, lengths = chains(np.bincount(of, minlength=len(texts)), CHAIN)
+        starts, lengths = whole(np.bincount(of, minlength=len(texts)))
         return begin, end, of, model.crf.marginals(values[:, :n_langs], starts, lengths), t, values[:, n_langs:]
 
     return run

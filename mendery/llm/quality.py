@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendery.llm.common import arrow_rows, batches_of, crc_remainder, read
-from mendery.llm.crf import Crf, chains, fit
+from mendery.llm.crf import Crf, fit, whole
 from mendery.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Texts, classes
 
-CHAIN, BINS = 128, 10
+BINS = 10
 STATS = ("length", "letters", "capitals", "digits", "symbols", "marks", "word_length", "short_words", "repeats", "distinct", "copies", "stop", "words")
 _COMMON = np.array([ord(c) for c in " ,.;:'\"!?()-\n"], np.uint32)
 _ENDS = np.array([ord(c) for c in ".!?…:;\"'"], np.uint32)
@@ -111,7 +111,7 @@ class Model:
         """Each line's probability to be good, its length, and lines by text."""
         stats, size, lines = line_stats(texts)
         emit = self.weights.reshape(-1, 2)[self.slots(stats, lines)].sum(axis=1)
-        return self.crf.marginals(emit, *chains(lines, CHAIN))[:, 1], size, lines
+        return self.crf.marginals(emit, *whole(lines))[:, 1], size, lines
 
     def goodness(self, good: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
         of = np.repeat(np.arange(len(lines)), lines)
@@ -136,7 +136,7 @@ def train(rows: list[tuple[int, str]], rounds: int = 3, steps: int = 60) -> Mode
     model = Model([np.unique(np.quantile(stats[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(len(STATS))])
     slots = model.slots(stats, lines)
     flat = model.weights.reshape(-1, 2)
-    starts, lengths = chains(lines, CHAIN)
+    starts, lengths = whole(lines)
     label = y[of]
 
     def emit():
