@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
+from mendery.llm.common import only
 from mendery.llm.textvec import PieceCache, Texts, encode_pieces
 
 #: The one special token of the public byte-level vocabulary, and its id.
@@ -45,7 +44,6 @@ class Encoder:
         return np.concatenate([np.asarray(p, np.int32) for p in out]), np.asarray(counts, np.int64)
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file."""
-    return Encoder(path)
+    return only(("encoder", path), lambda: Encoder(path))

@@ -1,15 +1,22 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries within each partition.
 
 Pieces (matches of the pre-tokeniser pattern) are encoded once for each distinct
-piece. A recursive query holds token-position rows (word, pos, id). Each step
-joins neighbouring rows with the merge table, finds each word's leftmost pair of
-minimum rank and contracts it; a word without such a pair rests. The merge table
-is made from the ranks alone: every split of a token into two tokens. Decoding
-joins ids with the vocabulary and aggregates their bytes in order.
-
-A word's steps number its merges, each over all its rows, which is quadratic;
-so pieces of more than `LONG` bytes are contracted by the tiktoken library, with
-the same result.
+piece. A recursive query holds token-position rows (word, pos, id, next). Each
+step joins neighbouring rows with the merge table, finds each word's leftmost pair
+of minimum rank and contracts it; a word without such a pair rests. The merge
+table is made from the ranks alone: every split of a token into two tokens.
+Decoding joins ids with the vocabulary and aggregates their bytes in order.
+
+What keeps long pieces cheap, with the same ids:
+
+- A boundary of two bytes that no token of the vocabulary has inside can't be
+  crossed by a merge, so a piece is contracted in the parts between these.
+- Further pairs of the same rank in a word are contracted in the same step, up to
+  the first whose token makes a pair of lower rank with a neighbour: until then
+  the leftmost pair of minimum rank is the next of these anyway.
+- The recursion is keyed by (word, pos): a step overwrites the rows of the step
+  before, so a query holds one row for each byte of its pieces, which are taken
+  `BYTES` at a time (or one piece).
 """
 
 from __future__ import annotations
@@ -20,10 +27,11 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from mendery.llm.common import arrow_rows, batches_of, read
-from mendery.llm.textvec import PieceCache, Texts, encode_pieces
+from mendery.llm.common import arrow_rows, batches_of, only, read
+from mendery.llm.textvec import PieceCache, Texts
 
-LONG = 400
+#: Bytes of pieces in one recursive query, tokens in one decoding query.
+BYTES, TOKENS = 1_000_000, 500_000
 
 _MERGES = """
 CREATE TABLE merges AS
@@ -33,48 +41,79 @@ JOIN vocab l ON l.hex = substr(v.hex, 1, v.k)
 JOIN vocab r ON r.hex = substr(v.hex, v.k + 1)
 """
 
+#: A step reads the rows of the last one; `n` counts steps, so that rows which stay alike go on too. Id -1 is a row that a
+#: contraction took away. `rank` is the pair's of a row and the next one, `best` the word's least. Words with one such pair
+#: contract it. In the others (`several`), every other pair of a run of neighbouring ones is a site, and `lower` tells whether
+#: the token made there would make a pair of a lower rank with the token before it (or the one made there) or after it;
+#: sites up to the first such one are contracted.
 _ENCODE = """
-WITH RECURSIVE step(word, n, pos, id) AS (
-  SELECT word, 0, pos, id FROM bytes
-  UNION ALL
-  SELECT word, n + 1, pos, CASE WHEN rank = best THEN merged ELSE id END
-  FROM (
-    SELECT *, lag(rank) OVER (PARTITION BY word ORDER BY pos) AS rank_before
-    FROM (
-      SELECT s.*, m.id AS merged, m.id * 4096::BIGINT + s.pos AS rank, min(m.id * 4096::BIGINT + s.pos) OVER (PARTITION BY s.word) AS best
-      FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step) s
-      LEFT JOIN merges m ON m.l = s.id AND m.r = s.next
+WITH RECURSIVE step(word, pos, id, n) USING KEY (word, pos) AS (
+  SELECT word, pos, id, 0 FROM bytes
+  UNION
+  SELECT * FROM (
+    WITH live AS MATERIALIZED (
+      SELECT * FROM (
+        SELECT *, min(rank) OVER (PARTITION BY word) AS best
+        FROM (
+          SELECT t.word, t.pos, t.id, t.n, coalesce(m.id, 2147483647) AS rank
+          FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE id >= 0) t
+          LEFT JOIN merges m ON m.l = t.id AND m.r = t.next
+        )
+      ) WHERE best < 2147483647
+    ),
+    several AS MATERIALIZED (SELECT word FROM live WHERE rank = best GROUP BY word HAVING count(*) > 1),
+    sites AS (
+      SELECT word, pos, id, n, best, rank = best AS site FROM live ANTI JOIN several USING (word)
+      UNION ALL
+      SELECT word, pos, id, n, best, at_site AND coalesce(NOT bool_or(at_site AND lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+      FROM (
+        SELECT s.*, (coalesce(b.id < s.best, false) OR coalesce(c.id < s.best, false)) AS lower
+        FROM (
+          SELECT *, CASE WHEN lag(at_site, 2, false) OVER w THEN best ELSE lag(id) OVER w END AS before, lead(id, 2) OVER w AS after
+          FROM (
+            SELECT *, rank = best AND (row_number() OVER (PARTITION BY word, run, rank = best ORDER BY pos)) % 2 = 1 AS at_site
+            FROM (
+              SELECT *, sum(CASE WHEN rank = best THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
+              FROM live SEMI JOIN several USING (word)
+            )
+          ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ) s
+        LEFT JOIN merges b ON s.at_site AND b.l = s.before AND b.r = s.best
+        LEFT JOIN merges c ON s.at_site AND c.l = s.best AND c.r = s.after
+      )
     )
-    WHERE best IS NOT NULL
+    SELECT word, pos, CASE WHEN site THEN best WHEN lag(site, 1, false) OVER (PARTITION BY word ORDER BY pos) THEN -1 ELSE id END, n + 1 FROM sites
   )
-  WHERE rank_before IS NULL OR rank_before <> best
 )
-SELECT word, id FROM step JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n) ORDER BY word, pos
+SELECT word, id FROM step WHERE id >= 0 ORDER BY word, pos
 """
 
-_DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocab USING (id) GROUP BY doc"
+_DECODE = "SELECT unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocab USING (id)"
 
 
 class SqlCodec:
     """Encodes and decodes by the ranks in a file, with DuckDB on one thread."""
 
-    def __init__(self, path: str, memory: str = "350MB"):
+    def __init__(self, path: str, memory: str = "400MB"):
         import base64
 
         import duckdb
         import pyarrow as pa
 
+        # without a folder nothing is written beside Spark's own; queries are small enough
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         with open(path, "rb") as f:
-            ranks = [(base64.b64decode(a).hex().upper(), int(b)) for a, b in map(bytes.split, f)]
-        self._table("v", pa.table({"hex": [h for h, _ in ranks], "id": pa.array([i for _, i in ranks], pa.int32())}))
+            ranks = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
+        self._table("v", pa.table({"hex": [t.hex().upper() for t, _ in ranks], "id": pa.array([i for _, i in ranks], pa.int32())}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.con.execute(_MERGES)
         self.byte = np.zeros(256, np.int32)
-        for h, i in ranks:
-            if len(h) == 2:
-                self.byte[int(h, 16)] = i
-        self.by_library = encode_pieces(path)
+        self.within = np.zeros((256, 256), bool)  # neighbouring bytes that some token has
+        for t, i in ranks:
+            if len(t) == 1:
+                self.byte[t[0]] = i
+            x = np.frombuffer(t, np.uint8)
+            self.within[x[:-1], x[1:]] = True
         self.cache = PieceCache(self.encode_words, most=6_000_000)
 
     def _table(self, name: str, table) -> None:
@@ -82,27 +121,23 @@ class SqlCodec:
 
     def encode_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, flat, and their numbers."""
+        out = [self._contracted([x[0] for x in held]) for held in batches_of(((p.encode("utf-8", "replace"),) for p in pieces), BYTES)]
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def _contracted(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
 
-        raw = [p.encode("utf-8", "replace") for p in pieces]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        short = np.flatnonzero(sizes <= LONG)
-        n = sizes[short]
-        flat = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
-        ends = np.cumsum(n)
-        pos = np.arange(len(flat)) - np.repeat(ends - n, n)
-        self._table("bytes", pa.table({"word": np.repeat(short, n).astype(np.int32), "pos": pos.astype(np.int32), "id": self.byte[flat]}))
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        starts = np.cumsum(n) - n
+        new = np.zeros(len(flat), bool)
+        new[starts[n > 0]] = True
+        new[1:] |= ~self.within[flat[:-1], flat[1:]]
+        part = np.cumsum(new) - 1
+        self._table("bytes", pa.table({"word": part.astype(np.int32), "pos": np.arange(len(flat), dtype=np.int32), "id": self.byte[flat]}))
         out = self.con.sql(_ENCODE).to_arrow_table()
-        words, ids = out.column("word").to_numpy(), out.column("id").to_numpy()
-        counts = np.bincount(words, minlength=len(pieces)).astype(np.int64)
-        if len(short) < len(pieces):
-            cut = np.split(ids, np.cumsum(counts)[:-1])
-            rest = np.flatnonzero(sizes > LONG)
-            for i in rest:
-                cut[i], one = self.by_library([pieces[i]])
-                counts[i] = one[0]
-            ids = np.concatenate(cut)
-        return ids, counts
+        of = np.repeat(np.arange(len(raw)), n)[np.flatnonzero(new)]  # part -> piece
+        return out.column("id").to_numpy(), np.bincount(of[out.column("word").to_numpy()], minlength=len(raw)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         t = Texts(texts)
@@ -112,29 +147,51 @@ class SqlCodec:
         rows = self.cache.rows(t, begin, end)
         return self.cache.gather(rows), np.bincount(of, self.cache.count[rows], len(texts)).astype(np.int64)
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each sequence of ids."""
+    def _bytes(self, ids: np.ndarray):
+        """The bytes of a sequence of ids, some tokens at a time."""
         import pyarrow as pa
 
-        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self._table("tokens", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        found = self.con.sql(_DECODE).to_arrow_table()
-        out = [b""] * len(counts)
-        for d, b in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[d] = b
+        for a in range(0, len(ids), TOKENS):
+            some = ids[a : a + TOKENS]
+            self._table("tokens", pa.table({"pos": np.arange(len(some), dtype=np.int32), "id": some}))
+            yield self.con.sql(_DECODE).fetchall()[0][0]
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray):
+        """For each of several sequences of ids, one after another, its bytes in some pieces."""
+        upto = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        cuts = upto[np.cumsum(counts)].tolist()
+        source, rest, at = self._bytes(ids), b"", 0
+        for end in cuts:
+            pieces = []
+            while at < end:
+                rest = rest or next(source)
+                pieces.append(rest[: end - at])
+                rest = rest[len(pieces[-1]) :]
+                at += len(pieces[-1])
+            yield pieces
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each sequence of ids."""
+        return [b"".join(x) for x in self.decoded(ids, counts)]
+
+    @functools.cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token."""
+        rows = self.con.sql("SELECT id, length(hex) // 2 AS n FROM vocab").fetchnumpy()
+        out = np.zeros(int(rows["id"].max()) + 1, np.int64)
+        out[rows["id"]] = rows["n"]
         return out
 
 
-@functools.cache
 def codec(path: str) -> SqlCodec:
     """The worker's codec for a file; its tasks follow one another."""
-    return SqlCodec(path)
+    return only(("codec", path), lambda: SqlCodec(path))
 
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(df: DataFrame, path: str, chars: int = 2_000_000) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, chars: int = 1_000_000) -> DataFrame:
     """Every whole text to ids and back: doc_id, n_tokens and the digests of ids and of decoded bytes.
 
     Null texts are empty (no ids); repeated rows give rows like others; an empty
@@ -149,11 +206,11 @@ def encode_decode(df: DataFrame, path: str, chars: int = 2_000_000) -> DataFrame
         own = codec(path)
         for held in batches_of(arrow_rows(batches, "doc_id", "text"), chars):
             ids, counts = own.encode([x[1] for x in held])
-            decoded = own.decode(ids, counts)
+            decoded = [hashlib.sha256(b"".join(x)).hexdigest() for x in own.decoded(ids, counts)]
             raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
             shas = [hashlib.sha256(raw[4 * (e - n) : 4 * e]).hexdigest() for e, n in zip(ends, counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in held], pa.int64()), pa.array(counts, pa.int64()), pa.array(shas), pa.array([hashlib.sha256(b).hexdigest() for b in decoded])],
+                [pa.array([x[0] for x in held], pa.int64()), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -66,9 +67,46 @@ def batches_of(rows: Iterator, chars: int):
         yield held
 
 
+#: Rows of an Arrow batch that are Python objects at one time.
+SLICE = 256
+
+
 def arrow_rows(batches: Iterator, *names: str):
     """Rows of the named columns from Arrow batches, one at a time; null texts (the last name) are empty."""
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-        for row in zip(*cols, strict=True):
-            yield (*row[:-1], row[-1] or "")
+        at = [batch.schema.get_field_index(n) for n in names]
+        for i in range(0, batch.num_rows, SLICE):
+            for row in zip(*(batch.column(k).slice(i, SLICE).to_pylist() for k in at), strict=True):
+                yield (*row[:-1], row[-1] or "")
+
+
+def trim() -> None:
+    """Give memory that isn't used back to the system; workers outlive the tasks of one operator."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_held: dict = {}
+
+
+def only(key, make):
+    """The one large object that a worker keeps over its tasks: another key drops it."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        trim()
+        _held[key] = make()
+    return _held[key]
+
+
+def trimmed(run):
+    """A function for mapInArrow that keeps nothing: it starts without the object of only() and trims memory at its end."""
+
+    def inner(batches):
+        only("none", dict)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mendery.llm.common import arrow_rows, batches_of, crc_remainder, read
+from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read
 from mendery.llm.crf import Crf, chains, fit, whole
 from mendery.llm.textvec import LETTER, PieceCache, Texts, classes, mix
 
@@ -185,15 +185,9 @@ def _score(model: Model, evidence: bool = False):
     return run
 
 
-_models: dict = {}
-
-
 def _scorer(shared, evidence: bool = False):
     """The worker's scorer for a broadcast model."""
-    if (shared.id, evidence) not in _models:
-        _models.clear()
-        _models[shared.id, evidence] = _score(shared.model.value, evidence)
-    return _models[shared.id, evidence]
+    return only(("language", shared.id, evidence), lambda: _score(shared.model.value, evidence))
 
 
 class _Shared:
@@ -247,7 +241,7 @@ def keep_identified(df: DataFrame, model: Model, least_score: float, least_known
 
         score = _scorer(shared, evidence=True)
         langs = shared.model.value.langs
-        for b in batches:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             keep: list[bool] = []
             for held in batches_of(((x or "",) for x in b.column(at).to_pylist()), chars):
                 if not langs:

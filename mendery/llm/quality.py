@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import arrow_rows, batches_of, crc_remainder, read
+from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read
 from mendery.llm.crf import Crf, fit, whole
 from mendery.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Texts, classes
 
@@ -205,7 +205,8 @@ def keep_good(df: DataFrame, model: Model, least_score: float, chars: int = 1_00
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        only("quality", dict)
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             keep: list[bool] = []
             for held in batches_of(((x or "",) for x in b.column(at).to_pylist()), chars):
                 keep += (shared.value.score([x[0] for x in held]) >= least_score).tolist()

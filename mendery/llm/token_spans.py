@@ -16,13 +16,11 @@ sections cover the text.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import arrow_rows, batches_of, read
+from mendery.llm.common import arrow_rows, batches_of, only, read
 from mendery.llm.textvec import PieceCache, Texts, _ranks, encode_pieces
 
 RULES = ("start", "most", "share")
@@ -48,9 +46,8 @@ def _spans(path: str):
     return compute
 
 
-@functools.cache
 def _cache(path: str) -> PieceCache:
-    return PieceCache(_spans(path))
+    return only(("spans", path), lambda: PieceCache(_spans(path)))
 
 
 def token_spans(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 
-from mendery.llm.bpe_sql import LONG, codec, encode_decode, op9_sql_bpe
+from mendery.llm.bpe_sql import codec, encode_decode, op9_sql_bpe
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,13 +39,33 @@ def test_odd_texts():
     rnd = random.Random(2)
     parts = ["'", "'s", "'ve", "'LL", " ", "   ", "\n", "\r\n", "\t", "a", "xyz", "é", "12", "½", "!?", "…", "　", "日本", "🙂", "\0", "<|endoftext|>", "\x85", "\x1c"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(2000)]
-    texts += ["", "z" * (LONG + 1), "a" * 300, "!" * 5000, " " * 3000 + "x", "word " * 3000]
+    texts += ["", "z" * 401, "a" * 300, "!" * 5000, " " * 3000 + "x", "word " * 3000]
     ids, counts = own.encode(texts)
     assert own.decode(ids, counts) == [x.encode() for x in texts]
     for x, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert got.tolist() == enc.encode_ordinary(x), x
 
 
+def test_long_pieces_and_colliding_hashes():
+    enc, own = library(), codec(RANKS)
+    rnd = random.Random(3)
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    letters = "etaoinshrdluqzxjkbcdfgmpvwy"
+    texts = [thue + " " + thue.translate(str.maketrans("ab", "ba")), thue]
+    texts.append(" ".join("".join(rnd.choices(letters, k=30)) for _ in range(3000)))
+    texts.append(" ".join("".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(130)) for _ in range(200)))
+    texts.append("a" * 50000 + "=" * 20000 + "-=" * 8000 + "".join(rnd.choices("ab", k=2000)))
+    ids, counts = own.encode(texts)
+    assert own.decode(ids, counts) == [x.encode() for x in texts]
+    for x, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == enc.encode_ordinary(x)
+    # more tokens than one decoding query takes
+    ids, counts = own.encode(["plain words go on " * 200_000, "", "x"])
+    assert own.decode(ids, counts) == [b"plain words go on " * 200_000, b"", b"x"]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (1, None), (2, "")], "doc_id long, text string").selectExpr("*", "'x' as pos", "1 as word")
     rows = encode_decode(df, RANKS).collect()
