@@ -1,28 +1,30 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 Texts become sets of hashed word shingles; texts with the same set are one node.
-Nodes with the same minimum hash, which alike sets mostly share, form a group;
-large ones are split into groups of bounded size. The matrix holds each group's
+Nodes with the same three smallest hashes, which alike sets mostly share, form a
+group; large ones are split into groups of bounded size. The matrix holds each group's
 token union. Two bounds on the overlap of two groups' members decide whether a
 group is opened for another:
 
 - The matrix rows are the tokens of each member's prefix, in an order with the
   corpus' frequent tokens last. Members that link share at least
-  l = 1 + size / 50 tokens of prefixes of (size - least overlap + l), so groups
-  that share fewer cannot link.
-- Each group stores its union as counts by ranges of the hash, one for about
-  four tokens (the largest count of its members). The sum of the lesser counts
+  l = 1 + size / 100 tokens of prefixes of (size - least overlap + l), so groups
+  that share fewer cannot link. The smaller one of a pair must overlap by more,
+  which makes its prefix shorter: these first tokens are the leading ones.
+- Each group stores its union as counts by ranges of the hash, one or two for
+  each token (the largest count of its members). The sum of the lesser counts
   bounds any overlap.
 
 Opened groups' members are compared exactly. Only connections matter for
-components: first each group is compared with one group that may link, and with a
-pivot group for each frequent matrix token; then only groups whose members are
-not yet in one component are compared. Every pair of nodes that links is so
+components: first each group is compared with one group that may link and, by its
+frequent matrix tokens, with a few groups of like size at random, twice; this
+joins large groups of copies. Then all groups that share enough and whose members
+are not yet in one component are compared. Every pair of nodes that links is so
 either compared or already connected.
 
-Sets are made anew from the texts whenever they are needed (five scans) instead
-of being stored: shuffles carry prefixes, and the compressed texts of groups that
-are opened, which are a third of their sets' size.
+Sets are made anew from the texts where they are needed (two scans) instead of
+being stored: shuffles carry prefixes and counts, and the compressed texts of
+groups that are opened, which are a third of their sets' size.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read, release, small_batches
+from mendery.llm.common import arrow_rows, batches_of, cut, read, release, small_batches, trimmed
 from mendery.llm.components import connected
 from mendery.llm.textvec import Texts, mix
 
-FEWEST, MOST = 7, 13
+FEWEST, MOST = 6, 15
 CHARS, MOST_KNOWN = 1_000_000, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,20 +80,23 @@ def node_of(s: np.ndarray) -> int:
         return int(mix(mix(s ^ _STEP).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-def _sets(batches, k: int):
-    for held in batches_of(arrow_rows(batches, "doc_id", "text"), CHARS):
-        yield list(zip([x[0] for x in held], shingle_sets([x[1] for x in held], k), strict=True))
+def _sets(batches, k: int, *names: str):
+    """Batches of (values of the named columns, set) of each text."""
+    for held in batches_of(arrow_rows(batches, *names, "text"), CHARS):
+        yield list(zip([x[:-1] for x in held], shingle_sets([x[-1] for x in held], k), strict=True))
 
 
-def _frequent(df: DataFrame, k: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(df: DataFrame, k: int, percent: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash keys (sorted) and document counts of the tokens in at least `least` documents; of more than `most` the most frequent.
 
     They only order tokens, so that long postings are rare; any order gives the
     same links. All documents are counted: each task counts its tokens and sends
-    them as sorted arrays by ranges of the hash.
+    them as sorted arrays by ranges of the hash. A prefix starts with the smallest
+    hashes of its set, so about twice as many of these are counted as it has.
     """
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @trimmed
     def local(batches):
         import pyarrow as pa
 
@@ -107,14 +112,16 @@ def _frequent(df: DataFrame, k: int, least: int, most: int) -> tuple[np.ndarray,
 
         held, size = [], 0
         for sets in _sets(batches, k):
-            held += [s for _, s in sets]
-            size += sum(len(s) for _, s in sets)
-            if size > 4_000_000:
+            low = [s[: 2 * (len(s) - least_overlap(len(s), percent) + slack(len(s))) + 8] for _, s in sets]
+            held += low
+            size += sum(map(len, low))
+            if size > 2_000_000:
                 yield out(held)
                 held, size = [], 0
         if size:
             yield out(held)
 
+    @trimmed
     def merge(batches):
         import pyarrow as pa
 
@@ -171,7 +178,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def slack(n: int) -> int:
-    return 1 + n // 50
+    return 1 + n // 100
 
 
 def prefix(s: np.ndarray, freq: np.ndarray, percent: int) -> np.ndarray:
@@ -186,18 +193,39 @@ def prefix(s: np.ndarray, freq: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate((light, s[heavy][order][: p - len(light)]))
 
 
+def leading(n: int, percent: int) -> int:
+    """How many tokens of its prefix a set of n needs against sets of its size or larger."""
+    return min(n, n - -(-2 * percent * n // (100 + percent)) + slack(n))
+
+
+def lowest(s: np.ndarray) -> int:
+    """A name for the three smallest hashes of a set."""
+    return int(mix(mix(s[:1] + s[:3][-1:] * _STEP) + s[:2][-1:])[0].astype(np.int64))
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's hashes by 2^7 to 2^13 equal ranges, about four tokens to each."""
-    bits = min(MOST, max(FEWEST, (len(s) // 4).bit_length()))
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2" if len(s) < 65536 else "<u4")
+    """Counts of a set's hashes by 2^6 to 2^15 equal ranges, one or two for each token."""
+    bits = min(MOST, max(FEWEST, len(s).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
 def stored(counts: np.ndarray) -> bytes:
-    return bytes([counts.itemsize]) + counts.tobytes()
+    """Counts below 16 as half bytes, others as whole ones of the width they need; the first byte tells which."""
+    most = int(counts.max())
+    if most < 16:
+        x = counts.astype(np.uint8)
+        return b"\0" + (x[::2] | x[1::2] << 4).tobytes()
+    width = 1 if most < 2**8 else 2 if most < 2**16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def loaded(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    if b[0]:
+        return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int32)
+    x = np.frombuffer(b, np.uint8, offset=1)
+    out = np.empty(2 * len(x), np.int32)
+    out[::2], out[1::2] = x & 15, x >> 4
+    return out
 
 
 def folded(counts: np.ndarray, n: int) -> np.ndarray:
@@ -208,7 +236,7 @@ def folded(counts: np.ndarray, n: int) -> np.ndarray:
 def merged(sketches: list[np.ndarray]) -> np.ndarray:
     """For each range the largest count, by as many ranges as the coarsest has."""
     n = min(map(len, sketches))
-    return np.max([folded(s, n) for s in sketches], axis=0).astype("<u4")
+    return np.max([folded(s, n) for s in sketches], axis=0)
 
 
 def most_shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -253,7 +281,7 @@ def links(sets: list[np.ndarray], names: list[int], split: int, percent: int) ->
     return out
 
 
-def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 32, group_tokens: int = 20_000, hot_posting: int = 64, frequent: int = 32, most_frequent: int = 300_000) -> DataFrame:
+def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 64, group_tokens: int = 20_000, hot_posting: int = 32, frequent: int = 24, most_frequent: int = 300_000) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `df`.
 
     Words are runs of characters but ASCII white space, with A-Z in lower case;
@@ -268,65 +296,67 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
     orders tokens; sets have 64-bit hashes and names.
     """
     spark = df.sparkSession
-    docs = df.select("doc_id", "text")
+    # a text is found again by the hash t
+    docs = df.select("doc_id", F.xxhash64("text").alias("t"), "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(_frequent(docs, k, frequent, most_frequent))
+    shared = spark.sparkContext.broadcast(_frequent(docs.select("text"), k, percent, frequent, most_frequent))
     release(spark)
 
-    def narrow(batches):
-        import pyarrow as pa
-
-        for sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([d for d, _ in sets], pa.int64()),
-                    pa.array([len(s) for _, s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for _, s in sets], pa.int64()),
-                    pa.array([int(s[0].astype(np.int64)) if len(s) else None for _, s in sets], pa.int64()),
-                ],
-                names=["doc_id", "n", "node", "low"],
-            )
-
-    rows = cut(docs.mapInArrow(narrow, "doc_id long, n long, node long, low long"))
-
-    # groups: nodes with the same minimum hash, split where there are many
-    nodes = rows.filter("node IS NOT NULL").groupBy("node", "low").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
-    nodes = cut(nodes)
-    big = nodes.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum("n") / group_tokens)).alias("pieces")).filter("pieces > 1")
-    grouped = nodes.join(big, "low", "left").select("node", "n", F.xxhash64("low", F.pmod(F.col("node"), F.coalesce("pieces", F.lit(1)))).alias("grp"))
-    grouped = cut(grouped)
-
+    @trimmed
     def sign(batches):
+        """Every row's set by name, size and smallest hashes; of each set, once in a task, its sketch and prefix."""
         import pyarrow as pa
 
         keys, counts = shared.value
         seen: set[int] = set()
-        for sets in _sets(batches, k):
+        for sets in _sets(batches, k, "doc_id", "t"):
             own = []
-            for _, s in sets:
-                if len(s) and (name := node_of(s)) not in seen:
-                    seen.add(name)
-                    own.append((name, stored(sketch(s)), prefix(s, frequency(s, keys, counts, parts), percent).tobytes()))
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "sketch", "prefix"])
+            for (doc_id, t), s in sets:
+                name = node_of(s) if len(s) else None
+                low, more = None, (None, None)
+                if name is not None:
+                    low = lowest(s)
+                    if name not in seen:
+                        seen.add(name)
+                        more = (stored(sketch(s)), prefix(s, frequency(s, keys, counts, parts), percent).tobytes())
+                own.append((doc_id, t, len(s), name, low, *more))
+            types = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names=["doc_id", "t", "n", "node", "low", "sketch", "prefix"])
+
+    with small_batches(spark, 2000):
+        signed = cut(docs.mapInArrow(sign, "doc_id long, t long, n long, node long, low long, sketch binary, prefix binary"))
+    rows = cut(signed.select("doc_id", "t", "n", "node", "low"))
+
+    # groups: nodes with the same smallest hashes, split where there are many; such a hash is dealt by `salts`
+    nodes = cut(rows.filter("node IS NOT NULL").groupBy("node", "low").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("t").alias("t")))
+    salts = 64
+    big = nodes.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum("n") / group_tokens)).alias("pieces")).filter("pieces > 1")
+    big = big.select("low", "pieces", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    grouped = nodes.withColumn("salt", F.pmod("node", F.lit(salts)).cast("int")).join(big, ["low", "salt"], "left")
+    grouped = cut(grouped.select("node", "n", "t", F.xxhash64("low", F.pmod(F.col("node"), F.coalesce("pieces", F.lit(1)))).alias("grp")))
 
-    signed = docs.mapInArrow(sign, "node long, sketch binary, prefix binary").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    members = signed.join(grouped, "node").groupBy("grp").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "sketch", "prefix")])
+    sketches = signed.filter("sketch IS NOT NULL").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    members = sketches.join(grouped, "node").groupBy("grp").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "t", "sketch", "prefix")])
 
+    @trimmed
     def union(batches):
         import pyarrow as pa
 
         for b in batches:
             out = []
             for r in b.to_pylist():
-                tokens = np.frombuffer(r["prefix"][0], np.uint64) if len(r["prefix"]) == 1 else distinct(np.concatenate([np.frombuffer(p, np.uint64) for p in r["prefix"]]))
+                prefixes = [np.frombuffer(p, np.uint64) for p in r["prefix"]]
+                first = distinct(np.concatenate([p[: leading(n, percent)] for p, n in zip(prefixes, r["n"], strict=True)]))
+                tokens = np.concatenate((first, np.setdiff1d(np.concatenate(prefixes), first)))
                 whole = r["sketch"][0] if len(r["sketch"]) == 1 else stored(merged([loaded(s) for s in r["sketch"]]))
-                out.append((r["grp"], r["node"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes()))
+                out.append((r["grp"], r["node"], r["t"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes(), len(first)))
             if out:
-                types = (pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "lo", "hi", "total", "slack", "sketch", "tokens"])
+                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "texts", "lo", "hi", "total", "slack", "sketch", "tokens", "leads"])
 
-    groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary"))
+    with small_batches(spark, 1000):
+        groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, texts array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary, leads long"))
+    del signed, sketches, members
     release(spark)
 
     # the matrix: a row for each token of a group's union, where two groups at least have the token
@@ -337,13 +367,15 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
             if b.num_rows:
                 tokens = [np.frombuffer(t, np.int64) for t in b.column(4).to_pylist()]
                 of = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[b.column(i).take(of) for i in range(4)]], names=["token", "grp", "lo", "hi", "slack"])
+                leads = np.concatenate([np.arange(len(t)) < n for t, n in zip(tokens, b.column(5).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[b.column(i).take(of) for i in range(4)], pa.array(leads)], names=["token", "grp", "lo", "hi", "slack", "leads"])
 
-    matrix = groups.select("grp", "lo", "hi", "slack", "tokens").mapInArrow(explode, "token long, grp long, lo long, hi long, slack long")
+    matrix = groups.select("grp", "lo", "hi", "slack", "tokens", "leads").mapInArrow(explode, "token long, grp long, lo long, hi long, slack long, leads boolean")
     each = W.partitionBy("token")
-    matrix = cut(matrix.withColumns({"many": F.count("*").over(each), "pivot": F.min("grp").over(each)}).filter("many > 1"))
+    matrix = cut(matrix.withColumn("many", F.count("*").over(each)).filter("many > 1"))
     release(spark)
 
+    @trimmed
     def bound(batches):
         """Pairs of groups whose sketches allow a link; the one with fewer tokens first."""
         import pyarrow as pa
@@ -366,40 +398,41 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
         """Links between the members of each pair of groups (of one group, if a = b)."""
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-        wanted = cut(groups.join(wanted, "grp", "left_semi").select("grp", F.explode("nodes").alias("node")))
-        # a bitmap of bounded size spares the shuffle most sets that aren't wanted; the join below is exact
+        wanted = cut(groups.join(wanted, "grp", "left_semi").select("grp", F.explode(F.arrays_zip("nodes", "texts")).alias("x")).select("grp", F.col("x.nodes").alias("node"), F.col("x.texts").alias("t")))
+        # a bitmap of bounded size spares the shuffle most texts that aren't wanted; the join below is exact
         bits = 1 << max(10, min(26, (8 * wanted.count()).bit_length()))
-        slot = F.pmod(F.col("node"), F.lit(bits))
-        words = wanted.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) % 64 AS int))")).alias("v")).toPandas()
+        slot = F.pmod(F.col("t"), F.lit(bits))
+        words = wanted.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(t, {bits}) % 64 AS int))")).alias("v")).toPandas()
         table = np.zeros(bits // 64, np.uint64)
         table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint64)
         wanted_bits = spark.sparkContext.broadcast(table)
 
+        @trimmed
         def emit(batches):
             import pyarrow as pa
             import zstandard
 
             table, pack = wanted_bits.value, zstandard.ZstdCompressor(level=3)
             seen: set[int] = set()
-            for held in batches_of(arrow_rows(batches, "doc_id", "text"), CHARS):
+            for b in batches:
+                t = b.column(0).to_numpy(zero_copy_only=False)
+                i = t % bits
                 own = []
-                for (_, text), s in zip(held, shingle_sets([x[1] for x in held], k), strict=True):
-                    if len(s):
-                        name = node_of(s)
-                        i = name % bits
-                        if (int(table[i // 64]) >> (i % 64)) & 1 and name not in seen:
-                            seen.add(name)
-                            own.append((name, pack.compress(text.encode("utf-8", "surrogatepass"))))
+                for j in np.flatnonzero((table[i // 64] >> (i % 64).astype(np.uint64)) & np.uint64(1)).tolist():
+                    if int(t[j]) not in seen and (text := b.column(1)[j].as_py()) is not None:
+                        seen.add(int(t[j]))
+                        own.append((int(t[j]), pack.compress(text.encode("utf-8", "surrogatepass"))))
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*own, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["t", "text"])
 
-        full = docs.mapInArrow(emit, "node long, text binary").groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")
+        full = docs.select("t", "text").mapInArrow(emit, "t long, text binary").groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t")
         packs = full.groupBy("grp").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
         side = lambda s: packs.select(F.col("grp").alias(s), F.col("nodes").alias(f"nodes_{s}"), F.col("texts").alias(f"texts_{s}"))
         # the smaller group of a pair travels to the larger one
         both = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), "b").select("nodes_a", "texts_a", "nodes_b", "texts_b")
         alone = pairs.filter("a = b").select("a").join(side("a"), "a").select("nodes_a", "texts_a", F.lit(None).cast("array<long>").alias("nodes_b"), F.lit(None).cast("array<binary>").alias("texts_b"))
 
+        @trimmed
         def compare(batches):
             import pyarrow as pa
             import zstandard
@@ -430,31 +463,48 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 3
 
         return both.unionByName(alone).mapInArrow(compare, "u long, v long")
 
-    near = f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo"
+    # sizes fit, and the token is a leading one of a member that may be the smaller one
+    near = f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo AND (x.leads AND x.lo <= y.hi OR y.leads AND y.lo <= x.hi)"
     pair = (F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b"), F.least("x.slack", "y.slack").alias("slack"))
     few = matrix.filter(F.col("many") <= hot_posting)
 
-    # first: groups with themselves, with the pivot of each of their frequent tokens, and with one group of those that share enough
+    def signatures(edges: DataFrame) -> DataFrame:
+        """The matrix with each group's component; a group whose members are in several stands for itself."""
+        labels = connected(edges)
+        own = groups.select("grp", F.explode("nodes").alias("node")).join(labels, "node", "left").groupBy("grp").agg(F.min(F.coalesce("label", "node")).alias("l1"), F.max(F.coalesce("label", "node")).alias("l2"))
+        sig = F.when(F.col("l1") == F.col("l2"), F.struct(F.lit(0).alias("kind"), F.col("l1").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id")))
+        return cut(matrix.drop("sig").join(own.select("grp", sig.alias("sig")), "grp"))
+
+    def partners(salt: int, each: int = 6, dealt: int = 256) -> DataFrame:
+        """For each group a few others from the postings of its frequent leading tokens: next in size among about `dealt` random ones."""
+        hot = matrix.filter((F.col("many") > hot_posting) & F.col("leads")).withColumn("deal", F.pmod(F.xxhash64("grp", F.lit(salt)), F.ceil(F.col("many") / dealt)))
+        before = F.lag(F.struct("grp", "lo", "hi", "sig")).over(W.partitionBy("token", "deal").orderBy("lo", F.xxhash64("grp", F.lit(salt))))
+        found = hot.withColumn("p", before).filter(f"sig <> p.sig AND 100 * hi >= {percent} * p.lo AND 100 * p.hi >= {percent} * lo")
+        some = F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("token", F.lit(salt))))
+        return found.withColumn("i", some).filter(F.col("i") <= each).select(F.least("grp", "p.grp").alias("a"), F.greatest("grp", "p.grp").alias("b")).distinct()
+
+    # first: groups with themselves, with one group of those that share enough, and with a few partners
     alone = groups.filter(F.size("nodes") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    pivots = matrix.filter((F.col("many") > hot_posting) & (F.col("grp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("grp").alias("b")).distinct()
     alike = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND {near}")).select(*pair)
     alike = alike.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack")
     one = alike.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("p")).select("p.a", "b")
+    matrix = matrix.withColumn("sig", F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id")))
     with small_batches(spark):
-        edges = cut(opened(alone.unionByName(bounded(pivots.unionByName(one).distinct()))))
+        edges = cut(opened(alone.unionByName(bounded(partners(0).unionByName(one).distinct()))))
+    release(spark)
+    matrix = signatures(edges)
+    with small_batches(spark):
+        edges = cut(edges.unionByName(opened(bounded(partners(1)))))
     release(spark)
-    labels = connected(edges)
 
     # then: groups that share enough tokens and aren't in one component already
-    own = groups.select("grp", F.explode("nodes").alias("node")).join(labels, "node", "left").groupBy("grp").agg(F.min(F.coalesce("label", "node")).alias("l1"), F.max(F.coalesce("label", "node")).alias("l2"))
-    sig = own.select("grp", F.when(F.col("l1") == F.col("l2"), F.struct(F.lit(0).alias("kind"), F.col("l1").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id"))).alias("sig"))
-    matrix = cut(matrix.join(sig, "grp"))
+    matrix = signatures(edges)
     few = matrix.filter(F.col("many") <= hot_posting)
     shares = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND x.sig <> y.sig AND {near}")).select(*pair)
     hot = matrix.filter(F.col("many") > hot_posting)
-    kinds = hot.select("token", "sig").distinct()
-    across = kinds.alias("x").join(kinds.alias("y"), F.expr("x.token = y.token AND x.sig < y.sig")).select("x.token", F.col("x.sig").alias("s"), F.col("y.sig").alias("z"))
-    wide = across.alias("k").join(hot.alias("x"), F.expr("k.token = x.token AND k.s = x.sig")).select(F.col("k.token").alias("t"), "z", F.struct("x.grp", "x.lo", "x.hi", "x.slack").alias("x"))
+    kinds = hot.groupBy("token", "sig").agg(F.max("leads").alias("leads"))
+    across = kinds.alias("x").join(kinds.alias("y"), F.expr("x.token = y.token AND x.sig < y.sig AND (x.leads OR y.leads)")).select("x.token", F.col("x.sig").alias("s"), F.col("y.sig").alias("z"))
+    wide = across.alias("k").join(hot.alias("x"), F.expr("k.token = x.token AND k.s = x.sig")).select(F.col("k.token").alias("t"), "z", F.struct("x.grp", "x.lo", "x.hi", "x.slack", "x.leads").alias("x"))
     wide = wide.join(hot.alias("y"), F.expr(f"t = y.token AND z = y.sig AND {near}")).select(*pair)
     counted = shares.unionByName(wide).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b")
     with small_batches(spark):
