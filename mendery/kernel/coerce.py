@@ -33,7 +33,17 @@ class Context:
     signed: bool = False
     raw: str | None = None
     checks: dict[str, bool] = field(default_factory=dict)
-    depth: int = 0
+    # (node, type) pairs being coerced, how many of each node, and what unions made of nodes
+    active: set[tuple[int, int]] = field(default_factory=set)
+    within: dict[int, int] = field(default_factory=dict)
+    memo: dict[tuple[int, int], tuple] = field(default_factory=dict)
+    targets: dict[str, Spec] = field(default_factory=dict)
+
+    def target(self, spec: Lazy) -> Spec:
+        """The type that a lazy one stands for, the same object each time."""
+        if spec.name not in self.targets:
+            self.targets[spec.name] = spec.get()
+        return self.targets[spec.name]
 
 
 def js_number(x: float) -> str:
@@ -71,14 +81,42 @@ def tidy(x: Any) -> Any:
 
 
 def coerce(n: Node, spec: Spec, ctx: Context) -> Any:
-    """The value of a node as a type; raises Bad."""
-    ctx.depth += 1
-    if ctx.depth > MAX_DEPTH:
+    """The value of a node as a type; raises Bad.
+
+    A type that comes back to itself on the same node (an array of itself that would
+    wrap a scalar, say) doesn't fit, so recursion always steps into the value. What a
+    union makes of a node is remembered, as several options may ask for it; only for
+    nodes that no type around it holds, as the rule above depends on these.
+    """
+    way = _WAYS[type(spec)]
+    if not isinstance(spec, Union | Tagged | Struct | Array | Map):
+        return way(n, spec, ctx)
+    key = (id(n), id(spec))
+    if key in ctx.active:
+        raise Bad("a type within itself on the same value")
+    if len(ctx.active) >= MAX_DEPTH:
         raise Bad("nested too deeply")
+    keep = isinstance(spec, Union) and not ctx.within.get(id(n))
+    if keep and key in ctx.memo:
+        _, value, error = ctx.memo[key]
+        if error:
+            raise error
+        return value
+    before = dict(ctx.checks) if keep else None
+    ctx.active.add(key)
+    ctx.within[id(n)] = ctx.within.get(id(n), 0) + 1
     try:
-        return _WAYS[type(spec)](n, spec, ctx)
+        value = way(n, spec, ctx)
+    except Bad as e:
+        if keep and ctx.checks == before:
+            ctx.memo[key] = (n, None, e)  # holds the node, so that its id stays its own
+        raise
     finally:
-        ctx.depth -= 1
+        ctx.active.discard(key)
+        ctx.within[id(n)] -= 1
+    if keep and ctx.checks == before:
+        ctx.memo[key] = (n, value, None)
+    return value
 
 
 def _string(n: Node, spec: String, ctx: Context) -> str:
@@ -418,6 +456,15 @@ def _union(n: Node, spec: Union, ctx: Context) -> Any:
     if best:
         ctx.checks.update(best[3])
         return best[2]
+    if n.kind == "str":
+        for o, c in zip(spec.options, cores, strict=True):
+            try:  # a scalar in prose, as the options come
+                if isinstance(c, Number):
+                    return coerce(Node("num", S.number_in_prose(n.value, ctx.signed)), o, ctx)
+                if isinstance(c, Bool):
+                    return coerce(Node("bool", S.boolean(n.value)), o, ctx)
+            except Bad:
+                continue
     for o in spec.options:
         if isinstance(o, Nullable | Optional):
             return None
@@ -540,5 +587,5 @@ _WAYS = {
     Tagged: _tagged,
     State: _state,
     Check: _check,
-    Lazy: lambda n, s, c: coerce(n, s.get(), c),
+    Lazy: lambda n, s, c: coerce(n, c.target(s), c),
 }
