@@ -7,9 +7,9 @@ backslash away gives back the very text.
 
 Turns are ordered by (turn, role, text), null first. Prefix sums of their
 estimated tokens (a token per four characters and eight for the markers) choose
-the spans: a turn belongs to span floor(tokens before it / span budget). Spans
-are aligned to turns, none is cut; only a turn longer than the budget makes a
-span longer than it. A window is the conversation's first system turn, the last
+the spans: turns that lie between two multiples of the span budget make a span,
+and a turn that crosses a multiple is a span of its own. Spans are aligned to
+turns, none is cut; only a turn longer than the budget makes a span longer than it. A window is the conversation's first system turn, the last
 turns before the span within a history limit, and the span; repeated turns stay
 out of the loss mask, so each assistant text is a target once.
 """
@@ -55,7 +55,10 @@ def windows(df: DataFrame, span_tokens: int = 384, history_turns: int = 2, histo
     sums = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("m"))
     sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in (("n", "n0"), ("m", "m0"))])
     t = t.withColumns({"k": F.count("*").over(in_block), "upto": F.sum("tokens").over(in_block)}).alias("t").join(sums.alias("b"), F.col("t.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("t.block") == F.col("b.block")))
-    t = t.select("t.conv_id", "role", "text", "tokens", (F.col("n0") + F.col("k") - 1).alias("ord"), F.floor((F.col("m0") + F.col("upto") - F.col("tokens")) / span_tokens).alias("window"))
+    t = t.select("t.conv_id", "role", "text", "tokens", (F.col("n0") + F.col("k") - 1).alias("ord"), (F.col("m0") + F.col("upto")).alias("end"))
+    at = F.floor((F.col("end") - F.col("tokens")) / span_tokens)
+    crosses = at < F.floor((F.col("end") - 1) / span_tokens)
+    t = t.select("conv_id", "role", "text", "tokens", "ord", (2 * at + crosses.cast("long")).alias("window"))
 
     spans = t.groupBy("conv_id", "window").agg(F.min("ord").alias("first"))
     asked = spans.withColumn("ord", F.explode(F.sequence(F.greatest(F.col("first") - history_turns, F.lit(0)), F.col("first") - 1))).filter("first > 0")
@@ -117,8 +120,9 @@ WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 o AS (SELECT *, CAST(ceil(length(text) / 4.0) + 8 AS BIGINT) AS tokens, row_number() OVER w - 1 AS ord FROM src WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-t AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens) // 384 AS win,
-  length('<s>[INST] ' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g') || ' [/INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g') || '</s>') AS chars FROM o),
+e AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) AS upto FROM o),
+t AS (SELECT *, CASE WHEN (upto - tokens) // 384 < (upto - 1) // 384 THEN 'turn ' || ord ELSE 'block ' || ((upto - tokens) // 384) END AS win,
+  length('<s>[INST] ' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g') || ' [/INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g') || '</s>') AS chars FROM e),
 s AS (SELECT conv_id, win, min(ord) AS first FROM t GROUP BY conv_id, win),
 h AS (SELECT s.conv_id, s.win, t.ord, t.chars, sum(t.tokens) OVER (PARTITION BY s.conv_id, s.win ORDER BY t.ord DESC) AS far
   FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.ord BETWEEN s.first - 2 AND s.first - 1),

@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import SF
 from oracle import rows as both
 from pyspark.sql import functions as F
 
@@ -50,3 +51,15 @@ def test_special_conversation(spark):
     assert r.n_turns == 2 and r.loss_chars == len(text)
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_spans_keep_the_budget(spark):
+    """No span has more than 384 tokens (characters / 4, rounded up, and 8 a turn), unless it is one turn."""
+    df = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id", "turn", "role", "text")
+    odd = [(-5, i, "user", "x" * n) for i, n in enumerate([3000, 10, 10, 1500, 1504, 1496, 700, 700, 90, 4, 0, 5000, 8])]
+    rows = windows(df.unionByName(spark.createDataFrame(odd, df.schema))).collect()
+    spans = []
+    for r in rows:
+        turns = r.formatted.split("</s>")[r.n_repeated : r.n_repeated + r.n_new]
+        spans.append([-(-len(x.partition(" [/INST]")[2]) // 4) + 8 for x in turns])
+    assert all(sum(x) <= 384 or len(x) == 1 for x in spans) and sum(len(x) > 1 for x in spans) > 20
