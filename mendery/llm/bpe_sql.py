@@ -27,7 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from mendery.llm.common import arrow_rows, batches_of, only, read
+from mendery.llm.common import arrow_rows, batches_of, only, read, text_batches
 from mendery.llm.textvec import PieceCache, Texts
 
 #: Bytes of pieces in one recursive query, tokens in one decoding query.
@@ -214,7 +214,7 @@ def encode_decode(df: DataFrame, path: str, chars: int = 1_000_000) -> DataFrame
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
 def op9_sql_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

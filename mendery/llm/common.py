@@ -48,6 +48,15 @@ def small_batches(spark: SparkSession, rows: int = 64):
         spark.conf.set(key, before)
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, and no larger Arrow batches than this in its session: texts are long, and a batch is held as a whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def crc_remainder(col: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo `modulus`; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus

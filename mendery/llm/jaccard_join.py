@@ -299,7 +299,9 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
     # a text is found again by the hash t
     docs = df.select("doc_id", F.xxhash64("text").alias("t"), "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(_frequent(docs.select("text"), k, percent, frequent, most_frequent))
+    with small_batches(spark, 1000):
+        known = _frequent(docs.select("text"), k, percent, frequent, most_frequent)
+    shared = spark.sparkContext.broadcast(known)
     release(spark)
 
     @trimmed

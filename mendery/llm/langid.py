@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read
+from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read, text_batches
 from mendery.llm.crf import Crf, chains, fit, whole
 from mendery.llm.textvec import LETTER, PieceCache, Texts, classes, mix
 
@@ -224,7 +224,7 @@ def identify(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
             names = [langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array(names), pa.array(np.where(n > 0, np.clip(top, 0, 1), 0.0)), pa.array(n, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
 def keep_identified(df: DataFrame, model: Model, least_score: float, least_known: float = 0.0, chars: int = 1_000_000) -> DataFrame:
@@ -254,7 +254,7 @@ def keep_identified(df: DataFrame, model: Model, least_score: float, least_known
                 keep += ((mass.sum(axis=1) > 0) & (mass.max(axis=1) >= least_score * mass.sum(axis=1)) & (own >= least_known * known[:, -1])).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)
 
 
 def language_spans(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
@@ -277,7 +277,7 @@ def language_spans(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataF
             ids = pa.array([x[0] for x in held], pa.int64()).take(pa.array(of[new]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(begin[new] - t.starts[of[new]]), pa.array(end[last] - t.starts[of[new]]), pa.array([langs[i] for i in k[new]]), pa.array(mean)], names=["doc_id", "start", "end", "lang", "score"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, lang string, score double")
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, lang string, score double")
 
 
 def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read
+from mendery.llm.common import arrow_rows, batches_of, cut, read, text_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -54,7 +54,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select("doc_id", "text").mapInArrow(run, PIECES)
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def sweep(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read
+from mendery.llm.common import SLICE, arrow_rows, batches_of, crc_remainder, only, read, text_batches
 from mendery.llm.crf import Crf, fit, whole
 from mendery.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Texts, classes
 
@@ -194,7 +194,7 @@ def score_documents(df: DataFrame, model: Model, chars: int = 1_000_000) -> Data
             p = 1 / (1 + np.exp(-(a + b * model.goodness(good, size, lines))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array(p), pa.array(lines, pa.int64())], names=["doc_id", "score", "n_lines"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_lines long")
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_lines long")
 
 
 def keep_good(df: DataFrame, model: Model, least_score: float, chars: int = 1_000_000) -> DataFrame:
@@ -212,7 +212,7 @@ def keep_good(df: DataFrame, model: Model, least_score: float, chars: int = 1_00
                 keep += (shared.value.score([x[0] for x in held]) >= least_score).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)
 
 
 def label_lines(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFrame:
@@ -228,7 +228,7 @@ def label_lines(df: DataFrame, model: Model, chars: int = 1_000_000) -> DataFram
             ids = pa.array([x[0] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), lines)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(good)) - np.repeat(ends - lines, lines), pa.int64()), pa.array(good)], names=["doc_id", "line", "good"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, good double")
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, "doc_id long, line long, good double")
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:

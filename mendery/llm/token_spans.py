@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import arrow_rows, batches_of, only, read
+from mendery.llm.common import arrow_rows, batches_of, only, read, text_batches
 from mendery.llm.textvec import PieceCache, Texts, _ranks, encode_pieces
 
 RULES = ("start", "most", "share")
@@ -133,7 +133,7 @@ def line_tokens(df: DataFrame, path: str, rule: str = "start", chars: int = 1_00
             types = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=True)]], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return df.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return text_batches(df).select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
 def op7_token_attribution(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
