@@ -5,13 +5,17 @@ a vector that many rows share is indexed once. Classes get one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm, which makes the largest inner product
 the smallest distance. They go to the nearest of the coarse centroids; the
 residual is product-quantised. A query probes the cells with the nearest
-centroids. There asymmetric distance tables (query sub-vector by codeword) score
-all codes, and the best `rerank` classes of each block are scored again exactly,
-in double precision, from the original vectors beside the codes.
-
-The centroids and codebooks are fitted on a bounded sample (`sample_rows`); every
-vector is indexed. Cells are split into blocks of about `block_rows` classes, and
-queries travel in packs, so neither a full cell nor a hot vector meets one task.
+centroids: as many as hold `target` of the true neighbours within the sample, and
+on until they hold `rerank` classes. Whole cells are dealt to blocks of about
+`block_rows` classes (a larger cell to several). There asymmetric distance tables
+(query sub-vector by codeword) score all codes of the probed cells, and the best
+`rerank` of a block are scored again exactly, in double precision, from the
+original vectors beside the codes.
+
+The centroids, codebooks and the number of probes are fitted on a bounded sample
+(`sample_rows`, or 32 a cell if that is more); every vector is indexed. Queries
+travel in packs, and blocks are repeated where there are very many queries, so
+neither a full cell, a hot vector nor all queries meet one task.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from mendery.llm.common import cut, read
+from mendery.llm.common import cut, read, small_batches
 
 
 @dataclass
@@ -42,27 +47,34 @@ class Index:
         parts, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
-    def cells(self, x: np.ndarray, n: int, query: bool = False) -> np.ndarray:
-        """The n nearest cells of each vector, nearest first."""
-        x = np.pad(x.astype(np.float64), ((0, 0), (0, 1))) if query else self.lift(x)
-        d = (self.coarse**2).sum(axis=1)[None] - 2 * x @ self.coarse.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def distances(self, x: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Squared distances of queries to centroids, less the query's own norm. The added coordinate of a query is 0."""
+        c = self.coarse[some]
+        return (c**2).sum(axis=1)[None] - 2 * x.astype(np.float64) @ c[:, :-1].T
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        c = self.coarse
+        return ((c**2).sum(axis=1)[None] - 2 * self.lift(x) @ c.T).argmin(axis=1)
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = self.split(self.lift(x) - self.coarse[cell])
         return np.stack([((b**2).sum(axis=1)[None] - 2 * rest[:, j] @ b.T).argmin(axis=1) for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Inner products of query parts and codewords: [queries, parts, 256]. The added coordinate of a query is 0."""
+        """Inner products of codewords and query parts: [parts, 256, queries]."""
         q = self.split(np.pad(queries.astype(np.float64), ((0, 0), (0, 1))))
-        return np.einsum("qpw,pcw->qpc", q, self.books)
+        return np.einsum("pcw,qpw->pcq", self.books, q).astype(np.float32)
 
-    def approximate(self, tables: np.ndarray, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """[queries, codes] estimated inner products."""
-        out = np.repeat((queries.astype(np.float64) @ self.coarse[cell, :-1])[:, None], len(codes), axis=1)
-        for j in range(codes.shape[1]):
-            out += tables[:, j, codes[:, j]]
-        return out
+    def approximate(self, queries: np.ndarray, far: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """[queries, codes] estimated inner products; -inf in cells beyond the distance `far` of the query."""
+        some, of = np.unique(cell, return_inverse=True)
+        base = queries.astype(np.float64) @ self.coarse[some, :-1].T
+        base[self.distances(queries, some) > far[:, None]] = -np.inf
+        out = base.T.astype(np.float32)[of]
+        for table, code in zip(self.tables(queries), codes.T, strict=True):
+            out += table[code]
+        return np.ascontiguousarray(out.T)
 
 
 def _kmeans(x: np.ndarray, k: int, steps: int, rng) -> np.ndarray:
@@ -81,12 +93,28 @@ def fit(sample: np.ndarray, norm: float, cells: int, parts: int = 16, steps: int
     index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((parts, 1, width)), norm)
     lifted = index.lift(sample)
     index.coarse = _kmeans(lifted, cells, steps, rng)
-    rest = index.split(lifted - index.coarse[index.cells(sample, 1)[:, 0]])
+    rest = index.split(lifted - index.coarse[index.cell(sample)])
     books = [_kmeans(rest[:, j], 256, steps, rng) for j in range(parts)]
     index.books = np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books])
     return index
 
 
+def probes_for(index: Index, sample: np.ndarray, k: int, target: float, queries: int = 256, seed: int = 13) -> int:
+    """How many nearest cells hold `target` of the k true neighbours of sampled queries within the sample."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1
+    x, cell, place = sample.astype(np.float64), index.cell(sample), []
+    chosen = np.random.default_rng(seed).choice(len(x), min(queries, len(x)), replace=False)
+    for part in np.array_split(chosen, -(-len(chosen) // 32)):
+        score = x[part] @ x.T
+        score[np.arange(len(part)), part] = -np.inf
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        nth = np.argsort(np.argsort(index.distances(x[part]), axis=1, kind="stable"), axis=1)
+        place.append(np.take_along_axis(nth, cell[near], axis=1).ravel())
+    return int(np.quantile(np.concatenate(place), target, method="higher")) + 1
+
+
 def _matrix(column) -> np.ndarray:
     """An Arrow column of equally long lists as a float32 matrix."""
     return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
@@ -112,7 +140,7 @@ def _distinct(keep: int, every: int):
     return run
 
 
-def search(df: DataFrame, k: int = 20, every: int = 20, probe_share: float = 0.7, rerank: int = 128, sample_rows: int = 131072, most_cells: int = 4096, block_rows: int = 4096, pack_rows: int = 256) -> DataFrame:
+def search(df: DataFrame, k: int = 20, every: int = 20, target: float = 0.95, probe_share: float | None = None, rerank: int = 256, sample_rows: int = 16384, most_cells: int = 4096, block_rows: int = 4096, pack_rows: int = 256, block_queries: int = 65536, most_waiting: int = 131072) -> DataFrame:
     """The k nearest found of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score.
 
     `df` has vec_id long and embedding array<float>; other columns play no part.
@@ -122,9 +150,10 @@ def search(df: DataFrame, k: int = 20, every: int = 20, probe_share: float = 0.7
     go to the smaller id. Fewer candidates than k give fewer rows, an empty table
     none.
 
-    The number of cells is the square root of the rows (at most `most_cells`), and
-    `probe_share` of the cells are probed: vectors without any clusters need more
-    than half of them for nine of ten neighbours.
+    The number of cells is the square root of the rows (at most `most_cells`).
+    `probe_share` sets the share of cells that are probed; without it the sample
+    does, for `target`: few cells where vectors form clusters, more than half of
+    them where they have none.
     """
     spark = df.sparkSession
     fine = "vec_id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists(embedding, x -> x <> 0)"
@@ -136,13 +165,15 @@ def search(df: DataFrame, k: int = 20, every: int = 20, probe_share: float = 0.7
         return spark.createDataFrame([], schema)
     d, n, most = sizes
     rows = rows.filter(F.size("embedding") == d)
+    cells = min(most_cells, max(1, round(n**0.5)))
+    sample_rows = max(sample_rows, 32 * cells)
     u = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     some = rows.filter(u < sample_rows / n).limit(2 * sample_rows) if n > sample_rows else rows
     sample = np.concatenate([np.asarray(x, np.float32).reshape(-1, d) for x in ([r[0] for r in sorted(some.select("embedding").collect())],)])
     sample = np.unique(sample, axis=0)
-    index = fit(sample, most, min(most_cells, max(1, round(n**0.5))))
+    index = fit(sample, most, cells)
     cells = len(index.coarse)
-    probes = max(1, round(cells * probe_share + 0.49))
+    probes = probes_for(index, sample, k, target) if probe_share is None else max(1, round(cells * probe_share + 0.49))
     shared = spark.sparkContext.broadcast(index)
 
     # classes of equal vectors; a class is known by two hashes
@@ -157,69 +188,97 @@ def search(df: DataFrame, k: int = 20, every: int = 20, probe_share: float = 0.7
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(0))
-                cell = index.cells(x, 1)[:, 0]
+                cell = index.cell(x)
                 codes = index.encode(x, cell)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([v.tobytes() for v in x]), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes])], names=["ids", "asks", "h1", "h2", "x", "cell", "code"])
 
     stored = cut(classes.select("embedding", "ids", "asks", *key).mapInArrow(assign, "ids array<long>, asks boolean, h1 long, h2 long, x binary, cell int, code binary"))
-    # one row for each cell
-    full = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    split = F.create_map(*[F.lit(v) for c, m in full.items() for v in (c, -(-m // block_rows))])
-    blocks = stored.withColumn("block", F.pmod(F.col("h1"), split[F.col("cell")])).groupBy("cell", "block").agg(*[F.collect_list(c).alias(f"b_{c}") for c in ("ids", "x", "code")])
+    # blocks of whole cells, one row each; these lists have at most `most_cells` entries
+    held = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    full, first, parts, last, room = np.zeros(cells, np.int64), np.zeros(cells, np.int64), np.ones(cells, np.int64), -1, 0
+    for c, m in sorted(held.items()):
+        if m > room:
+            last, room = last + 1, block_rows
+        full[c], first[c], parts[c] = m, last, max(1, -(-m // block_rows))
+        last, room = last + int(parts[c]) - 1, room - m if parts[c] == 1 else 0
+    spread = max(1, -(-stored.filter("asks").count() // block_queries))
+    dealt = F.broadcast(spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in held], "cell int, first long, parts long"))
+    placed = stored.join(dealt, "cell").withColumn("block", F.col("first") + F.pmod(F.col("h1"), F.col("parts")))
+    blocks = placed.groupBy("block").agg(*[F.collect_list(c).alias(f"b_{c}") for c in ("ids", "x", "cell", "code")])
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    record = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("far", "<f8"), ("x", "<f4", d)])
 
     def pack(batches):
         import pyarrow as pa
 
         index = shared.value
-        held: dict[int, list[bytes]] = {}
+        waiting: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
 
-        def out(cells_):
-            return pa.RecordBatch.from_arrays([pa.array(cells_, pa.int32()), pa.array([held[c] for c in cells_], pa.list_(pa.binary()))], names=["cell", "queries"])
+        def out(some):
+            data = [np.concatenate(waiting.pop(b)) for b in some]
+            for b in some:
+                del size[b]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([int(v["h1"][0]) % spread for v in data], pa.int32()), pa.array([v.tobytes() for v in data], pa.binary())], names=["block", "copy", "queries"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.stack([np.frombuffer(v, np.float32) for v in b.column(0).to_pylist()])
-            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], axis=1)
-            for row, raw, key_ in zip(index.cells(x, probes, query=True).tolist(), x, keys, strict=True):
-                packed = key_.astype(np.int64).tobytes() + raw.tobytes()
-                for c in row:
-                    held.setdefault(c, []).append(packed)
-            if done := [c for c, v in held.items() if len(v) >= pack_rows]:
-                yield out(done)
-                for c in done:
-                    del held[c]
-        if held:
-            yield out(list(held))
-
-    asked = stored.filter("asks").select("x", "h1", "h2").mapInArrow(pack, "cell int, queries array<binary>")
+            for at in range(0, b.num_rows, pack_rows):
+                s = b.slice(at, pack_rows)
+                rows_ = np.zeros(s.num_rows, record)
+                rows_["x"] = np.frombuffer(b"".join(s.column(0).to_pylist()), np.float32).reshape(-1, d)
+                rows_["h1"], rows_["h2"] = (s.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                dist = index.distances(rows_["x"])
+                order = np.argsort(dist, axis=1, kind="stable")
+                enough = (np.cumsum(full[order], axis=1) < rerank).sum(axis=1)
+                nth = np.minimum(np.maximum(probes - 1, enough), cells - 1)
+                far = np.take_along_axis(dist, np.take_along_axis(order, nth[:, None], axis=1), axis=1)[:, 0]
+                rows_["far"] = far + 1e-9 * (np.abs(far) + 1e-9)
+                opened = (dist <= rows_["far"][:, None]) & (full > 0)
+                who, c = np.nonzero(opened)
+                n_parts = parts[c]
+                nth_part = np.arange(n_parts.sum()) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+                to = np.unique(np.stack((np.repeat(first[c], n_parts) + nth_part, np.repeat(who, n_parts))), axis=1)
+                new = np.flatnonzero(np.diff(to[0], prepend=-1))
+                for block, own in zip(to[0][new].tolist(), np.split(to[1], new[1:]), strict=True):
+                    waiting.setdefault(block, []).append(rows_[own])
+                    size[block] = size.get(block, 0) + len(own)
+                some = sum(size.values()) >= most_waiting
+                if done := [x for x, m in size.items() if some or m >= pack_rows]:
+                    yield out(done)
+        if size:
+            yield out(list(size))
+
+    asked = stored.filter("asks").select("x", "h1", "h2").mapInArrow(pack, "block long, copy int, queries binary")
 
     def probe(batches):
         import pyarrow as pa
 
         index = shared.value
         for b in batches:
-            for r in b.to_pylist():
-                raw = [np.frombuffer(q, np.int64, 2) for q in r["queries"]]
-                q = np.stack([np.frombuffer(v, np.float32, offset=16) for v in r["queries"]])
-                x = np.stack([np.frombuffer(v, np.float32) for v in r["b_x"]])
-                codes = np.stack([np.frombuffer(v, np.uint8) for v in r["b_code"]])
-                near = index.approximate(index.tables(q), q, r["cell"], codes)
+            for i in range(b.num_rows):
+                q = np.frombuffer(b.column(0)[i].as_py(), record)
+                ids = b.column(1)[i].values
+                x = np.frombuffer(b"".join(b.column(2)[i].values.to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
+                cell = b.column(3)[i].values.to_numpy()
+                codes = np.frombuffer(b"".join(b.column(4)[i].values.to_pylist()), np.uint8).reshape(len(x), -1)
+                firsts = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+                near = index.approximate(q["x"], q["far"], cell, codes)
                 m = min(rerank, len(x))
                 best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                firsts = np.array([i[0] for i in r["b_ids"]])
-                cols: list[list] = [[], [], []]
-                for i, some in enumerate(best):
-                    score = x[some].astype(np.float64) @ q[i].astype(np.float64)
-                    top = np.lexsort((firsts[some], -score))[: k + 1]
-                    cols[0].append(int(raw[i][0]))
-                    cols[1].append(int(raw[i][1]))
-                    cols[2].append([{"s": -s, "ids": r["b_ids"][j]} for s, j in zip(score[top].tolist(), some[top].tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("s", pa.float64()), ("ids", pa.list_(pa.int64()))])))], names=["h1", "h2", "found"])
-
-    found = asked.join(blocks, "cell").select("cell", "queries", "b_ids", "b_x", "b_code").mapInArrow(probe, "h1 long, h2 long, found array<struct<s:double,ids:array<long>>>")
-    pairs = F.flatten(F.transform(F.flatten(F.collect_list("found")), lambda e: F.transform(e["ids"], lambda i: F.struct(e["s"].alias("s"), i.alias("i")))))
-    best = found.groupBy("h1", "h2").agg(F.slice(F.array_sort(pairs), 1, k + 1).alias("near"))
+                score = np.concatenate([np.einsum("qrd,qd->qr", x[best[a : a + 16]], q["x"][a : a + 16].astype(np.float64)) for a in range(0, len(q), 16)])
+                score[np.isneginf(np.take_along_axis(near, best, axis=1))] = -np.inf
+                order = np.lexsort((firsts[best], -score), axis=1)[:, : k + 1]
+                score, best = np.take_along_axis(score, order, axis=1), np.take_along_axis(best, order, axis=1)
+                of, nth = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q["h1"][of]), pa.array(q["h2"][of]), pa.array(-score[of, nth]), ids.take(pa.array(best[of, nth]))], names=["h1", "h2", "s", "ids"])
+
+    # rows hold whole blocks: few of them in a batch
+    with small_batches(spark, 8):
+        found = cut(asked.join(blocks, ["block", "copy"]).select("queries", "b_ids", "b_x", "b_cell", "b_code").mapInArrow(probe, "h1 long, h2 long, s double, ids array<long>"))
+    nearest = W.partitionBy("h1", "h2").orderBy("s", F.col("ids")[0])
+    kept = found.withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= k + 1)
+    pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("i")))))
+    best = kept.groupBy("h1", "h2").agg(F.slice(F.array_sort(pairs), 1, k + 1).alias("near"))
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), *[F.xxhash64(e, *rest).alias(a) for a, e, rest in (("h1", F.transform("embedding", lambda v: v + F.lit(0).cast("float")), ()), ("h2", F.transform("embedding", lambda v: v + F.lit(0).cast("float")), (F.lit(1),)))])
     own = F.array_position(F.transform("near", lambda e: e["i"]), F.col("query_id"))
     rest = F.filter("near", lambda e, i: i + 1 != own)
