@@ -1,30 +1,39 @@
 """Best-fit packing of documents into token sequences, in bulk-synchronous rounds.
 
 Documents are encoded, end with a given id, and are cut only if longer than a
-sequence. Pieces and gaps are range-sorted by size. Sizes are whole numbers of at
-most `capacity`, so the sorted order is held as runs: a size and how many pieces
-(or which consecutive sequences) have it. A round takes the longest pieces left
-and sweeps to their successor, the smallest gaps that hold them. Pieces of one
-size compete for the gaps of that size by rank: the i-th piece gets the i-th gap.
-The gaps that were used shrink, and pieces without a gap go on to the next
-larger one, or open sequences. The plan of all rounds is runs of ranks, at most
-a few for each size; only it and the histogram of sizes, neither of which grows
-with the number of documents, are on the driver. Each piece then finds its run
-by its rank among the pieces of its size, all in parallel.
+sequence. Pieces longer than half a sequence can't share one with each other, so
+each opens its own. The others go by classes of size, the longest first. A round:
+
+1. Gaps that can hold a piece of the class, and the pieces of it that are left,
+   are range-sorted by falling size.
+2. Each range is swept for successors: a stack holds the gaps seen so far, the
+   smallest on top, and a piece takes the top one, which is its best fit. A gap
+   that surely holds several pieces of the class is offered as many times.
+3. Pieces that a range has no gap for and gaps it has over are numbered by rank.
+   A sweep over the ranges (two counts each) assigns runs of ranks to the
+   nearest range before with gaps over, and the i-th piece of a run gets its i-th
+   gap, so no two ever get the same.
+4. Gaps shrink by what they took, and empty sequences are opened for the least
+   number that the pieces left need. The next round follows until none is left.
+
+The rounds give the number of sequences of best-fit decreasing or very nearly it,
+however the ranges are cut. Their number depends on the classes, about two to
+four for each, not on the number of documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read, text_batches
+from mendery.llm.common import arrow_rows, batches_of, cut, read, release, text_batches
 
+#: Classes of size end at the capacity divided by these.
+CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,73 +66,151 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
     return text_batches(df).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sweep(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """The plan of all rounds and the number of sequences.
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """Sizes above the first and up to the second number, the largest class first."""
+    ends = sorted({capacity // d for d in CLASSES if d <= capacity} | {0}, reverse=True)
+    return list(zip(ends[1:], ends, strict=False))
 
-    A run (size, lo, hi, first, offset, each) places the pieces of that size with
-    rank lo..hi-1, `each` to a sequence from `first` on, starting at `offset`.
+
+SWEPT = "part int, kind int, seq long, u long, size long, gap long, rank long, n long"
+
+
+def _sweep(hi: int, pieces: int):
+    """Step 2 over one range: rows of kind 2 are pairs, 1 pieces without a gap here, 0 gaps left over, the smallest first.
+
+    Gaps left over are listed as far as all `pieces` of the round could take them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        names = [x.split()[0] for x in SWEPT.split(", ")]
+        types = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        stack: list[list[int]] = []
+        alone = 0
+        for b in batches:
+            rows = []
+            for size, kind, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == 0:
+                    stack.append([key, size, max(1, size // hi)])
+                elif stack:
+                    top = stack[-1]
+                    rows.append((part, 2, top[0], key, size, top[1], 0, 1))
+                    top[2] -= 1
+                    if not top[2]:
+                        stack.pop()
+                else:
+                    rows.append((part, 1, None, key, size, None, alone, 1))
+                    alone += 1
+            if rows:
+                yield out(rows)
+        rank, rows = 0, []
+        while stack and rank < pieces:
+            seq, gap, n = stack.pop()
+            rows.append((part, 0, seq, None, None, gap, rank, n))
+            rank += n
+            if len(rows) == 10_000:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
+
+    return run
+
+
+def carry(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Step 3: runs (part, lo, hi, of, first), the pieces of `part` ranked lo..hi-1 get the gaps of `of` from rank `first`.
+
+    `ranges` has the pieces without a gap and the gaps left over of each range, by falling size.
+    """
+    stack: list[list[int]] = []
+    runs = []
+    for part, pieces, gaps in sorted(ranges):
+        lo = 0
+        while lo < pieces and stack:
+            of, first, n = stack[-1]
+            m = min(n, pieces - lo)
+            runs.append((part, lo, lo + m, of, first))
+            lo += m
+            if m == n:
+                stack.pop()
+            else:
+                stack[-1] = [of, first + m, n - m]
+        if gaps:
+            stack.append([part, 0, gaps])
+    return runs
+
+
+def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> DataFrame:
+    """One round: pairs (seq, u, size, off) of pieces (u, size) and gaps (seq, gap) that hold them.
+
+    Both tables must be stored. `off` is where the piece begins within its gap.
     """
-    plan: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences with it
-    order: list[int] = []  # the gaps that there are, sorted
-    opened = 0
-
-    def free(gap: int, lo: int, hi: int) -> None:
-        if gap > 0 and hi > lo:
-            if gap not in gaps:
-                insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((lo, hi))
-
-    for size in sorted(sizes, reverse=True):
-        rank, n = 0, sizes[size]
-        while rank < n and (at := bisect_left(order, size)) < len(order):
-            gap = order[at]
-            lo, hi = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                order.pop(at)
-            # a gap may hold several: best fit would come back to it at once if nothing tighter is left
-            m = min(hi - lo, n - rank)
-            plan.append((size, rank, rank + m, lo, capacity - gap, 1))
-            rank += m
-            free(gap, lo + m, hi)
-            free(gap - size, lo, lo + m)
-        if rank < n:
-            each = capacity // size
-            whole, rest = divmod(n - rank, each)
-            plan.append((size, rank, n, opened, 0, each))
-            free(capacity - each * size, opened, opened + whole)
-            if rest:
-                free(capacity - rest * size, opened + whole, opened + whole + 1)
-            opened += whole + bool(rest)
-    return plan, opened
-
-
-def pack(pieces: DataFrame, capacity: int = 1024, buckets: int = 256) -> DataFrame:
-    """`pieces` with sequence_id and offset; pieces needs columns length (1..capacity), doc_id and piece.
-
-    Ranks of equal sizes are counted within hash buckets of (doc_id, piece) and
-    shifted by the buckets before, so one size may hold any share of the rows.
-    `pieces` is read several times and should be stored. Repeated rows are pieces
-    like others; an empty table packs into nothing.
+    spark = left.sparkSession
+    order = (F.desc("size"), F.asc("kind"), F.asc("key"))
+    both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key")).unionAll(left.select("size", F.lit(1), "u"))
+    swept = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(hi, pieces), SWEPT))
+    pairs = swept.filter("kind = 2").select("seq", "u", "size", "gap")
+    counts = swept.filter("kind < 2").groupBy("part").agg(F.sum("kind").alias("pieces"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("gaps"))
+    if runs := carry([tuple(r) for r in counts.collect()]):
+        # two numbers a range make at most two runs a range
+        of = F.broadcast(spark.createDataFrame(runs, "part int, lo long, hi long, of int, first long"))
+        some = swept.filter("kind = 1").select("part", "u", "size", "rank").join(of, "part").filter("rank >= lo AND rank < hi")
+        some = some.select("u", "size", "of", (F.col("first") + F.col("rank") - F.col("lo")).alias("nth"))
+        offered = swept.filter("kind = 0").select(F.col("part").alias("of"), "seq", "gap", "rank", "n").join(of.select("of", "first", (F.col("first") + F.col("hi") - F.col("lo")).alias("end")), "of")
+        offered = offered.filter("rank < end AND rank + n > first").select("of", "seq", "gap", F.explode(F.sequence(F.greatest("rank", "first"), F.least(F.col("rank") + F.col("n"), "end") - 1)).alias("nth"))
+        pairs = pairs.unionAll(some.join(offered, ["of", "nth"]).select("seq", "u", "size", "gap"))
+    before = W.partitionBy("seq").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
+    return pairs.select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap")
+
+
+def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """`pieces` with sequence_id and offset; pieces needs a column length (1..capacity).
+
+    Equally long pieces are told apart by a number that each stored row gets, so
+    one size may hold any share of the rows, and repeated rows are pieces like
+    others. An empty table packs into nothing.
     """
     spark = pieces.sparkSession
-    rows = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan, _ = sweep(sizes, capacity)
-    runs: dict[int, list[tuple]] = {}
-    for size, *run in plan:
-        runs.setdefault(size, []).append(tuple(run))
-    steps = spark.createDataFrame(list(runs.items()), "length long, _runs array<struct<lo:long,hi:long,first:long,off:long,each:long>>")
-    within = W.partitionBy("length", "_b").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("_k", F.row_number().over(within) - 1).join(base, ["length", "_b"]).withColumn("_k", F.col("_k") + F.col("_base"))
-    placed = ranked.join(steps, "length").withColumn("_r", F.filter("_runs", lambda r: (r["lo"] <= F.col("_k")) & (F.col("_k") < r["hi"]))[0])
-    i = F.col("_k") - F.col("_r.lo")
-    return placed.select(*pieces.columns, (F.col("_r.first") + F.floor(i / F.col("_r.each"))).alias("sequence_id"), (F.col("_r.off") + i % F.col("_r.each") * F.col("length")).alias("offset"))
+    rows = cut(pieces.withColumn("_u", F.monotonically_increasing_id()))
+    (half, _), *smaller = classes(capacity)
+    size = F.col("length").cast("long")
+    gaps = rows.filter(size > half).select(F.col("_u").alias("seq"), (capacity - size).alias("gap")).filter("gap > 0")
+    sums = [f(F.when((size > lo) & (size <= hi), size)) for lo, hi in smaller for f in (F.count, F.sum)]
+    totals = list(rows.agg(F.lit(0), *sums).first()[1:])
+    placed, opened = [], 0
+    for i, (lo, hi) in enumerate(smaller):
+        n, total = totals[2 * i], totals[2 * i + 1]
+        left = rows.filter((size > lo) & (size <= hi)).select(F.col("_u").alias("u"), size.alias("size"))
+        again = False
+        while n:
+            if again:
+                # the least that the pieces left need; those they leave are there for the next classes
+                need = max(-(-total // capacity), -(-n // (capacity // (lo + 1))))
+                fresh = spark.range(opened, opened + need).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+                gaps, opened = gaps.unionAll(fresh), opened + need
+            again = True
+            new = cut(match(left, gaps.filter(F.col("gap") > lo), hi, n))
+            placed.append(new.select(F.col("u").alias("_u"), F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset")))
+            gaps = cut(gaps.join(new.groupBy("seq").agg(F.sum("size").alias("used")), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
+            m, held = new.agg(F.count("*"), F.sum("size")).first()
+            n, total = n - m, total - (held or 0)
+            if n:
+                left = cut(left.join(new.select("u"), "u", "left_anti"))
+        release(spark)
+    out = rows.filter(size > half).select(*pieces.columns, F.col("_u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if placed:
+        found = placed[0]
+        for p in placed[1:]:
+            found = found.unionAll(p)
+        out = out.unionAll(rows.filter(size <= half).join(found, "_u").select(*pieces.columns, "sequence_id", "offset"))
+    return out
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

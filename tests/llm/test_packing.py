@@ -1,13 +1,13 @@
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from mendery.llm.bpe import encoder
-from mendery.llm.packing import op3_best_fit_packing, pack, sweep, token_pieces
+from mendery.llm.packing import carry, op3_best_fit_packing, pack, token_pieces
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,20 +59,41 @@ def test_query_against_the_tokenizer(spark):
     assert n <= best_fit_decreasing([r.length for r in rows], 1024)
 
 
-def test_sweep_equals_best_fit_decreasing():
+def test_rounds_equal_best_fit_decreasing(spark):
     rnd = random.Random(3)
-    for _ in range(60):
-        cap = rnd.choice([10, 64, 100])
-        sizes = [rnd.randint(1, cap) for _ in range(rnd.randint(1, 120))]
-        plan, n = sweep(Counter(sizes), cap)
-        assert n <= best_fit_decreasing(sizes, cap) + 1 and n >= -(-sum(sizes) // cap)
-        assert sum(hi - lo for _, lo, hi, *_ in plan) == len(sizes)
+    for cap, n, ranges in ((10, 120, 3), (64, 300, 7), (100, 80, 2), (7, 1, 1)):
+        sizes = [rnd.randint(1, cap) for _ in range(n)]
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, length long").repartition(ranges)
+            rows = pack(df, cap).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(sizes))
+        assert -(-sum(sizes) // cap) <= whole(rows, cap) <= best_fit_decreasing(sizes, cap)
+
+
+def test_carry_gives_each_gap_once():
+    rnd = random.Random(4)
+    for _ in range(200):
+        ranges = [(p, rnd.randint(0, 5), rnd.randint(0, 5)) for p in range(rnd.randint(1, 8))]
+        runs = carry(ranges)
+        pieces = [(p, i) for p, lo, hi, _, _ in runs for i in range(lo, hi)]
+        gaps = [(of, first + i) for _, lo, hi, of, first in runs for i in range(hi - lo)]
+        assert len(set(pieces)) == len(pieces) and len(set(gaps)) == len(gaps)
+        assert all(of < p for p, _, _, of, _ in runs) and all(j < ranges[of][2] for of, j in gaps)
+        # as many as a plain sweep matches
+        free = matched = 0
+        for _, n, g in ranges:
+            matched += min(n, free)
+            free = free - min(n, free) + g
+        assert matched == len(pieces)
 
 
 def test_hot_size_ties_and_empty(spark):
     data = [(i // 2, 0, 7) for i in range(600)] + [(i, 1, 1 + i % 20) for i in range(300)]
     df = spark.createDataFrame(data, "doc_id long, piece int, length long")
-    rows = pack(df, 20, buckets=4).collect()
+    rows = pack(df, 20).collect()
     assert len(rows) == 900
     assert whole(rows, 20) <= best_fit_decreasing([x[2] for x in data], 20)
     assert pack(df.limit(0), 20).count() == 0
