@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read, release, text_batches
+from mendery.llm.common import arrow_rows, batches_of, cut, read, text_batches
 
 #: Classes of size end at the capacity divided by these.
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
@@ -147,10 +147,10 @@ def carry(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> DataFrame:
-    """One round: pairs (seq, u, size, off) of pieces (u, size) and gaps (seq, gap) that hold them.
+def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> tuple[DataFrame, int]:
+    """One round: pairs (seq, u, size, within, gap) of pieces (u, size) and gaps (seq, gap) that hold them, and how many pieces are left.
 
-    Both tables must be stored. `off` is where the piece begins within its gap.
+    Both tables must be stored. `within` is where the piece begins in its gap.
     """
     spark = left.sparkSession
     order = (F.desc("size"), F.asc("kind"), F.asc("key"))
@@ -158,7 +158,11 @@ def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> DataFrame:
     swept = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(hi, pieces), SWEPT))
     pairs = swept.filter("kind = 2").select("seq", "u", "size", "gap")
     counts = swept.filter("kind < 2").groupBy("part").agg(F.sum("kind").alias("pieces"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("gaps"))
-    if runs := carry([tuple(r) for r in counts.collect()]):
+    # two numbers of each range
+    ranges = [tuple(r) for r in counts.collect()]
+    rest = sum(r[1] for r in ranges)
+    if runs := carry(ranges):
+        rest -= sum(hi_ - lo for _, lo, hi_, _, _ in runs)
         # two numbers a range make at most two runs a range
         of = F.broadcast(spark.createDataFrame(runs, "part int, lo long, hi long, of int, first long"))
         some = swept.filter("kind = 1").select("part", "u", "size", "rank").join(of, "part").filter("rank >= lo AND rank < hi")
@@ -167,7 +171,7 @@ def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> DataFrame:
         offered = offered.filter("rank < end AND rank + n > first").select("of", "seq", "gap", F.explode(F.sequence(F.greatest("rank", "first"), F.least(F.col("rank") + F.col("n"), "end") - 1)).alias("nth"))
         pairs = pairs.unionAll(some.join(offered, ["of", "nth"]).select("seq", "u", "size", "gap"))
     before = W.partitionBy("seq").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
-    return pairs.select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap")
+    return pairs.select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap"), rest
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -196,14 +200,13 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
                 fresh = spark.range(opened, opened + need).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
                 gaps, opened = gaps.unionAll(fresh), opened + need
             again = True
-            new = cut(match(left, gaps.filter(F.col("gap") > lo), hi, n))
+            new, n = match(left, gaps.filter(F.col("gap") > lo), hi, n)
+            new = cut(new)
             placed.append(new.select(F.col("u").alias("_u"), F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset")))
             gaps = cut(gaps.join(new.groupBy("seq").agg(F.sum("size").alias("used")), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
-            m, held = new.agg(F.count("*"), F.sum("size")).first()
-            n, total = n - m, total - (held or 0)
             if n:
                 left = cut(left.join(new.select("u"), "u", "left_anti"))
-        release(spark)
+                total = left.agg(F.sum("size")).first()[0]
     out = rows.filter(size > half).select(*pieces.columns, F.col("_u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed:
         found = placed[0]
