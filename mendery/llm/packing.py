@@ -16,6 +16,9 @@ each opens its own. The others go by classes of size, the longest first. A round
 4. Gaps shrink by what they took, and empty sequences are opened for the least
    number that the pieces left need. The next round follows until none is left.
 
+Ranges and joins of a round have as many partitions as its rows need, so that a
+round over few rows doesn't pay for the partitions of one over all.
+
 The rounds give the number of sequences of best-fit decreasing or very nearly it,
 however the ranges are cut. Their number depends on the classes, about two to
 four for each, not on the number of documents.
@@ -34,6 +37,8 @@ from mendery.llm.common import arrow_rows, batches_of, cut, read, text_batches
 
 #: Classes of size end at the capacity divided by these.
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
+#: Rows that a partition of a round holds, as far as spark.sql.shuffle.partitions allows that many.
+ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,7 +83,7 @@ SWEPT = "part int, kind int, seq long, u long, size long, gap long, rank long, n
 def _sweep(hi: int, pieces: int):
     """Step 2 over one range: rows of kind 2 are pairs, 1 pieces without a gap here, 0 gaps left over, the smallest first.
 
-    Gaps left over are listed as far as all `pieces` of the round could take them.
+    The last row, of kind 3, counts the pieces without a gap (rank) and the gaps left over (n). Gaps left over are listed as far as all `pieces` of the round could take them.
     """
 
     def run(batches):
@@ -118,12 +123,16 @@ def _sweep(hi: int, pieces: int):
             if len(rows) == 10_000:
                 yield out(rows)
                 rows = []
-        if rows:
-            yield out(rows)
+        yield out([*rows, (part, 3, None, None, None, None, alone, rank)])
 
     return run
 
 
+def spread(spark: SparkSession, rows: int) -> int:
+    """Partitions for a round of this many rows: two at least, so that ranges and keys are split at every size."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, -(-rows // ROWS))))
+
+
 def carry(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Step 3: runs (part, lo, hi, of, first), the pieces of `part` ranked lo..hi-1 get the gaps of `of` from rank `first`.
 
@@ -147,19 +156,18 @@ def carry(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> tuple[DataFrame, int]:
+def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int, parts: int) -> tuple[DataFrame, int]:
     """One round: pairs (seq, u, size, within, gap) of pieces (u, size) and gaps (seq, gap) that hold them, and how many pieces are left.
 
-    Both tables must be stored. `within` is where the piece begins in its gap.
+    Both tables must be stored; `parts` is the number of ranges. `within` is where the piece begins in its gap.
     """
     spark = left.sparkSession
     order = (F.desc("size"), F.asc("kind"), F.asc("key"))
     both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key")).unionAll(left.select("size", F.lit(1), "u"))
-    swept = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(hi, pieces), SWEPT))
+    swept = cut(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(hi, pieces), SWEPT))
     pairs = swept.filter("kind = 2").select("seq", "u", "size", "gap")
-    counts = swept.filter("kind < 2").groupBy("part").agg(F.sum("kind").alias("pieces"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("gaps"))
-    # two numbers of each range
-    ranges = [tuple(r) for r in counts.collect()]
+    # one row of each range
+    ranges = [tuple(r) for r in swept.filter("kind = 3").select("part", "rank", "n").collect()]
     rest = sum(r[1] for r in ranges)
     if runs := carry(ranges):
         rest -= sum(hi_ - lo for _, lo, hi_, _, _ in runs)
@@ -169,9 +177,9 @@ def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int) -> tuple[DataF
         some = some.select("u", "size", "of", (F.col("first") + F.col("rank") - F.col("lo")).alias("nth"))
         offered = swept.filter("kind = 0").select(F.col("part").alias("of"), "seq", "gap", "rank", "n").join(of.select("of", "first", (F.col("first") + F.col("hi") - F.col("lo")).alias("end")), "of")
         offered = offered.filter("rank < end AND rank + n > first").select("of", "seq", "gap", F.explode(F.sequence(F.greatest("rank", "first"), F.least(F.col("rank") + F.col("n"), "end") - 1)).alias("nth"))
-        pairs = pairs.unionAll(some.join(offered, ["of", "nth"]).select("seq", "u", "size", "gap"))
+        pairs = pairs.unionAll(some.repartition(parts, "of", "nth").join(offered.repartition(parts, "of", "nth"), ["of", "nth"]).select("seq", "u", "size", "gap"))
     before = W.partitionBy("seq").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
-    return pairs.select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap"), rest
+    return pairs.repartition(parts, "seq").select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap"), rest
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -185,27 +193,30 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     rows = cut(pieces.withColumn("_u", F.monotonically_increasing_id()))
     (half, _), *smaller = classes(capacity)
     size = F.col("length").cast("long")
-    gaps = rows.filter(size > half).select(F.col("_u").alias("seq"), (capacity - size).alias("gap")).filter("gap > 0")
     sums = [f(F.when((size > lo) & (size <= hi), size)) for lo, hi in smaller for f in (F.count, F.sum)]
-    totals = list(rows.agg(F.lit(0), *sums).first()[1:])
+    large, *totals = rows.agg(F.count(F.when((size > half) & (size < capacity), 1)), *sums).first()
+    small = rows.coalesce(spread(spark, large + sum(totals[::2])))
+    gaps = small.filter(size > half).select(F.col("_u").alias("seq"), (capacity - size).alias("gap")).filter("gap > 0")
     placed, opened = [], 0
     for i, (lo, hi) in enumerate(smaller):
         n, total = totals[2 * i], totals[2 * i + 1]
-        left = rows.filter((size > lo) & (size <= hi)).select(F.col("_u").alias("u"), size.alias("size"))
+        left = small.filter((size > lo) & (size <= hi)).select(F.col("_u").alias("u"), size.alias("size"))
         again = False
         while n:
             if again:
                 # the least that the pieces left need; those they leave are there for the next classes
                 need = max(-(-total // capacity), -(-n // (capacity // (lo + 1))))
-                fresh = spark.range(opened, opened + need).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+                fresh = spark.range(opened, opened + need, 1, spread(spark, need)).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
                 gaps, opened = gaps.unionAll(fresh), opened + need
             again = True
-            new, n = match(left, gaps.filter(F.col("gap") > lo), hi, n)
+            parts = spread(spark, n + large + opened)
+            new, n = match(left, gaps.filter(F.col("gap") > lo), hi, n, parts)
             new = cut(new)
             placed.append(new.select(F.col("u").alias("_u"), F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset")))
-            gaps = cut(gaps.join(new.groupBy("seq").agg(F.sum("size").alias("used")), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
+            used = new.repartition(parts, "seq").groupBy("seq").agg(F.sum("size").alias("used"))
+            gaps = cut(gaps.repartition(parts, "seq").join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
             if n:
-                left = cut(left.join(new.select("u"), "u", "left_anti"))
+                left = cut(left.repartition(parts, "u").join(new.select("u").repartition(parts, "u"), "u", "left_anti"))
                 total = left.agg(F.sum("size")).first()[0]
     out = rows.filter(size > half).select(*pieces.columns, F.col("_u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed:
@@ -222,4 +233,4 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
 
     # the ranks file has the vocabulary of byte_bpe_50k.json
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack(cut(token_pieces(read(spark, sf_dir, "documents"), path)))
+    return pack(token_pieces(read(spark, sf_dir, "documents"), path))
