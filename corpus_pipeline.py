@@ -55,7 +55,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents left, best-fit packed into sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(packing.cut(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
