@@ -17,7 +17,8 @@ each opens its own. The others go by classes of size, the longest first. A round
    number that the pieces left need. The next round follows until none is left.
 
 Ranges and joins of a round have as many partitions as its rows need, so that a
-round over few rows doesn't pay for the partitions of one over all.
+round over few rows doesn't pay for the partitions of one over all. Both sides of
+its joins are dealt alike and merged; no rows of pieces or gaps go to the driver.
 
 The rounds give the number of sequences of best-fit decreasing or very nearly it,
 however the ranges are cut. Their number depends on the classes, about two to
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mendery.llm.common import arrow_rows, batches_of, cut, read, text_batches
+from mendery.llm.common import arrow_rows, batches_of, cut, read, release, text_batches
 
 #: Classes of size end at the capacity divided by these.
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
@@ -177,7 +178,7 @@ def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int, parts: int) ->
         some = some.select("u", "size", "of", (F.col("first") + F.col("rank") - F.col("lo")).alias("nth"))
         offered = swept.filter("kind = 0").select(F.col("part").alias("of"), "seq", "gap", "rank", "n").join(of.select("of", "first", (F.col("first") + F.col("hi") - F.col("lo")).alias("end")), "of")
         offered = offered.filter("rank < end AND rank + n > first").select("of", "seq", "gap", F.explode(F.sequence(F.greatest("rank", "first"), F.least(F.col("rank") + F.col("n"), "end") - 1)).alias("nth"))
-        pairs = pairs.unionAll(some.repartition(parts, "of", "nth").join(offered.repartition(parts, "of", "nth"), ["of", "nth"]).select("seq", "u", "size", "gap"))
+        pairs = pairs.unionAll(some.repartition(parts, "of", "nth").join(offered.repartition(parts, "of", "nth").hint("merge"), ["of", "nth"]).select("seq", "u", "size", "gap"))
     before = W.partitionBy("seq").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
     return pairs.repartition(parts, "seq").select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap"), rest
 
@@ -214,10 +215,12 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             new = cut(new)
             placed.append(new.select(F.col("u").alias("_u"), F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset")))
             used = new.repartition(parts, "seq").groupBy("seq").agg(F.sum("size").alias("used"))
-            gaps = cut(gaps.repartition(parts, "seq").join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
+            gaps = cut(gaps.repartition(parts, "seq").join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
             if n:
-                left = cut(left.repartition(parts, "u").join(new.select("u").repartition(parts, "u"), "u", "left_anti"))
+                left = cut(left.repartition(parts, "u").join(new.select("u").repartition(parts, "u").hint("merge"), "u", "left_anti"))
                 total = left.agg(F.sum("size")).first()[0]
+        # plans, shuffles and broadcasts of the class's rounds would fill the driver's heap
+        release(spark)
     out = rows.filter(size > half).select(*pieces.columns, F.col("_u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed:
         found = placed[0]
