@@ -4,21 +4,25 @@ Documents are encoded, end with a given id, and are cut only if longer than a
 sequence. Pieces longer than half a sequence can't share one with each other, so
 each opens its own. The others go by classes of size, the longest first. A round:
 
-1. Gaps that can hold a piece of the class, and the pieces of it that are left,
-   are range-sorted by falling size.
+1. The pieces left of the class and the gaps are range-sorted by falling size.
 2. Each range is swept for successors: a stack holds the gaps seen so far, the
    smallest on top, and a piece takes the top one, which is its best fit. A gap
    that surely holds several pieces of the class is offered as many times.
 3. Pieces that a range has no gap for and gaps it has over are numbered by rank.
    A sweep over the ranges (two counts each) assigns runs of ranks to the
    nearest range before with gaps over, and the i-th piece of a run gets its i-th
-   gap, so no two ever get the same.
-4. Gaps shrink by what they took, and empty sequences are opened for the least
-   number that the pieces left need. The next round follows until none is left.
-
-Ranges and joins of a round have as many partitions as its rows need, so that a
-round over few rows doesn't pay for the partitions of one over all. Both sides of
-its joins are dealt alike and merged; no rows of pieces or gaps go to the driver.
+   place, so no two ever get the same. Pieces and gaps of a run meet by blocks of
+   places, sorted by place.
+4. Gaps shrink by what they take as they take it, and empty sequences are opened
+   for the least number that the pieces left need. The next round follows until
+   none is left.
+
+A round is two sorts with a pass of Python over each, without joins or
+aggregations: what a round costs the driver are its plans, whatever its rows.
+Pieces left, gaps and placed pieces of a round are one stored table. Its ranges
+and blocks have as many partitions as its rows need, so that a round over few rows
+doesn't pay for the partitions of one over all; no rows of pieces or gaps go to the
+driver.
 
 The rounds give the number of sequences of best-fit decreasing or very nearly it,
 however the ranges are cut. Their number depends on the classes, about two to
@@ -32,7 +36,6 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from mendery.llm.common import arrow_rows, batches_of, cut, read, release, text_batches
 
@@ -40,6 +43,8 @@ from mendery.llm.common import arrow_rows, batches_of, cut, read, release, text_
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
 #: Rows that a partition of a round holds, as far as spark.sql.shuffle.partitions allows that many.
 ROWS = 50_000
+#: Places of a range's gaps that are filled together: a multiple of what empty sequences of 1024 offer to each class.
+BLOCK = 6144
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,53 +83,133 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     return list(zip(ends[1:], ends, strict=False))
 
 
-SWEPT = "part int, kind int, seq long, u long, size long, gap long, rank long, n long"
+#: kind 0: a gap (key: its sequence), 1: a piece left (key: its number), 2: a piece placed in `seq` at `at`.
+STATE = "kind int, key long, size long, seq long, at long"
+#: Kind 3 counts a range's pieces without a gap (rank) and its places left over (n).
+SWEPT = f"{STATE}, part int, rank long, n long"
+DEALT = f"{STATE}, of int, pos long, block long"
+
+
+def _batch(rows: list[tuple], schema: str):
+    import pyarrow as pa
+
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [pa.int32() if k == "int" else pa.int64() for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=list(names))
 
 
-def _sweep(hi: int, pieces: int):
-    """Step 2 over one range: rows of kind 2 are pairs, 1 pieces without a gap here, 0 gaps left over, the smallest first.
+def _sweep(lo: int, hi: int, pieces: int, capacity: int):
+    """Step 2 over one range, for pieces of sizes lo + 1 to hi: rows of SWEPT.
 
-    The last row, of kind 3, counts the pieces without a gap (rank) and the gaps left over (n). Gaps left over are listed as far as all `pieces` of the round could take them.
+    Gaps left over have the rank of their first place and how many they offer, the
+    smallest first, as far as all `pieces` of the round could take them. No gap's
+    places are in two blocks.
     """
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        names = [x.split()[0] for x in SWEPT.split(", ")]
-        types = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
         stack: list[list[int]] = []
         alone = 0
         for b in batches:
             rows = []
             for size, kind, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == 0:
-                    stack.append([key, size, max(1, size // hi)])
+                    if size > lo:
+                        stack.append([key, size, max(1, size // hi)])
+                    else:
+                        rows.append((0, key, size, None, None, part, None, None))
                 elif stack:
                     top = stack[-1]
-                    rows.append((part, 2, top[0], key, size, top[1], 0, 1))
+                    rows.append((2, key, size, top[0], capacity - top[1], part, None, None))
+                    top[1] -= size
                     top[2] -= 1
                     if not top[2]:
                         stack.pop()
+                        if top[1]:
+                            rows.append((0, top[0], top[1], None, None, part, None, None))
                 else:
-                    rows.append((part, 1, None, key, size, None, alone, 1))
+                    rows.append((1, key, size, None, None, part, alone, 1))
                     alone += 1
             if rows:
-                yield out(rows)
+                yield _batch(rows, SWEPT)
         rank, rows = 0, []
-        while stack and rank < pieces:
+        while stack:
             seq, gap, n = stack.pop()
-            rows.append((part, 0, seq, None, None, gap, rank, n))
-            rank += n
+            if rank < pieces:
+                n = min(n, BLOCK - rank % BLOCK)
+                rows.append((0, seq, gap, None, None, part, rank, n))
+                rank += n
+            else:
+                rows.append((0, seq, gap, None, None, part, None, None))
             if len(rows) == 10_000:
-                yield out(rows)
+                yield _batch(rows, SWEPT)
                 rows = []
-        yield out([*rows, (part, 3, None, None, None, None, alone, rank)])
+        yield _batch([*rows, (3, None, None, None, None, part, alone, rank)], SWEPT)
+
+    return run
+
+
+def _deal(runs: list[tuple[int, int, int, int, int]]):
+    """Step 3, rows of SWEPT to those of DEALT: pieces and gaps of a run get their range and place, all others the range -1."""
+    own: dict[int, np.ndarray] = {p: np.array([r[1:] for r in runs if r[0] == p]) for p in {r[0] for r in runs}}
+    used: dict[int, int] = {}
+    for _, lo, hi, of, first in runs:
+        used[of] = max(used.get(of, 0), first + hi - lo)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            b = b.filter(pa.array(b.column(0).to_numpy() < 3))
+            if not b.num_rows:
+                continue
+            kind, key, part = (b.column(i).to_numpy() for i in (0, 1, 5))
+            rank = b.column(6).fill_null(-1).to_numpy()
+            of, pos = np.full(len(kind), -1), np.zeros(len(kind), np.int64)
+            for p in set(part.tolist()):
+                if p in used:
+                    i = (part == p) & (kind == 0) & (rank >= 0) & (rank < used[p])
+                    of[i], pos[i] = p, rank[i]
+                if p in own:
+                    i = np.flatnonzero((part == p) & (kind == 1))
+                    at = own[p][np.searchsorted(own[p][:, 0], rank[i], "right") - 1]
+                    i, at = i[rank[i] < at[:, 1]], at[rank[i] < at[:, 1]]
+                    of[i], pos[i] = at[:, 2], at[:, 3] + rank[i] - at[:, 0]
+            block = np.where(of < 0, key, pos // BLOCK)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(of, pa.int32()), pa.array(pos), pa.array(block)], names=[x.split()[0] for x in DEALT.split(", ")])
+
+    return run
+
+
+def _fill(capacity: int):
+    """Steps 3 and 4 over blocks of places, rows of DEALT by range, place and kind: pieces go into the gap that has their place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        of, seq, gap = None, None, 0
+        for b in batches:
+            apart = b.column(5).to_numpy() < 0
+            if apart.any():
+                yield b.filter(pa.array(apart)).select(list(range(5)))
+            rows = []
+            some = b.filter(pa.array(~apart))
+            for kind, key, size, at in zip(*(some.column(i).to_pylist() for i in (0, 1, 2, 5)), strict=True):
+                if kind == 0:
+                    if gap:
+                        rows.append((0, seq, gap, None, None))
+                    of, seq, gap = at, key, size
+                else:
+                    if at != of or size > gap:
+                        raise AssertionError("a piece without its gap")
+                    rows.append((2, key, size, seq, capacity - gap))
+                    gap -= size
+            if rows:
+                yield _batch(rows, STATE)
+        if gap:
+            yield _batch([(0, seq, gap, None, None)], STATE)
 
     return run
 
@@ -157,30 +242,20 @@ def carry(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return runs
 
 
-def match(left: DataFrame, gaps: DataFrame, hi: int, pieces: int, parts: int) -> tuple[DataFrame, int]:
-    """One round: pairs (seq, u, size, within, gap) of pieces (u, size) and gaps (seq, gap) that hold them, and how many pieces are left.
+def match(state: DataFrame, lo: int, hi: int, pieces: int, capacity: int, parts: int) -> tuple[DataFrame, int]:
+    """One round over gaps and `pieces` pieces of sizes lo + 1 to hi (kind, key, size): its state, and how many pieces are left.
 
-    Both tables must be stored; `parts` is the number of ranges. `within` is where the piece begins in its gap.
+    `parts` is the number of ranges.
     """
-    spark = left.sparkSession
     order = (F.desc("size"), F.asc("kind"), F.asc("key"))
-    both = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key")).unionAll(left.select("size", F.lit(1), "u"))
-    swept = cut(both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(hi, pieces), SWEPT))
-    pairs = swept.filter("kind = 2").select("seq", "u", "size", "gap")
+    swept = cut(state.select("size", "kind", "key").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(lo, hi, pieces, capacity), SWEPT))
     # one row of each range
     ranges = [tuple(r) for r in swept.filter("kind = 3").select("part", "rank", "n").collect()]
-    rest = sum(r[1] for r in ranges)
-    if runs := carry(ranges):
-        rest -= sum(hi_ - lo for _, lo, hi_, _, _ in runs)
-        # two numbers a range make at most two runs a range
-        of = F.broadcast(spark.createDataFrame(runs, "part int, lo long, hi long, of int, first long"))
-        some = swept.filter("kind = 1").select("part", "u", "size", "rank").join(of, "part").filter("rank >= lo AND rank < hi")
-        some = some.select("u", "size", "of", (F.col("first") + F.col("rank") - F.col("lo")).alias("nth"))
-        offered = swept.filter("kind = 0").select(F.col("part").alias("of"), "seq", "gap", "rank", "n").join(of.select("of", "first", (F.col("first") + F.col("hi") - F.col("lo")).alias("end")), "of")
-        offered = offered.filter("rank < end AND rank + n > first").select("of", "seq", "gap", F.explode(F.sequence(F.greatest("rank", "first"), F.least(F.col("rank") + F.col("n"), "end") - 1)).alias("nth"))
-        pairs = pairs.unionAll(some.repartition(parts, "of", "nth").join(offered.repartition(parts, "of", "nth").hint("merge"), ["of", "nth"]).select("seq", "u", "size", "gap"))
-    before = W.partitionBy("seq").orderBy("u").rowsBetween(W.unboundedPreceding, -1)
-    return pairs.repartition(parts, "seq").select("seq", "u", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("within"), "gap"), rest
+    runs = carry(ranges)
+    rest = sum(r[1] for r in ranges) - sum(hi_ - lo_ for _, lo_, hi_, _, _ in runs)
+    # two numbers a range make at most two runs a range
+    dealt = swept.mapInArrow(_deal(runs), DEALT).repartition(parts, "of", "block").sortWithinPartitions("of", "pos", "kind")
+    return cut(dealt.mapInArrow(_fill(capacity), STATE)), rest
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -197,29 +272,24 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     sums = [f(F.when((size > lo) & (size <= hi), size)) for lo, hi in smaller for f in (F.count, F.sum)]
     large, *totals = rows.agg(F.count(F.when((size > half) & (size < capacity), 1)), *sums).first()
     small = rows.coalesce(spread(spark, large + sum(totals[::2])))
-    gaps = small.filter(size > half).select(F.col("_u").alias("seq"), (capacity - size).alias("gap")).filter("gap > 0")
+    state = small.filter((size > half) & (size < capacity)).select(F.lit(0).alias("kind"), F.col("_u").alias("key"), (capacity - size).alias("size"))
     placed, opened = [], 0
     for i, (lo, hi) in enumerate(smaller):
         n, total = totals[2 * i], totals[2 * i + 1]
-        left = small.filter((size > lo) & (size <= hi)).select(F.col("_u").alias("u"), size.alias("size"))
+        more = small.filter((size > lo) & (size <= hi)).select(F.lit(1), "_u", size)
         again = False
         while n:
             if again:
                 # the least that the pieces left need; those they leave are there for the next classes
                 need = max(-(-total // capacity), -(-n // (capacity // (lo + 1))))
-                fresh = spark.range(opened, opened + need, 1, spread(spark, need)).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-                gaps, opened = gaps.unionAll(fresh), opened + need
+                more = spark.range(opened, opened + need, 1, spread(spark, need)).select(F.lit(0), -1 - F.col("id"), F.lit(capacity).cast("long"))
+                opened += need
             again = True
-            parts = spread(spark, n + large + opened)
-            new, n = match(left, gaps.filter(F.col("gap") > lo), hi, n, parts)
-            new = cut(new)
-            placed.append(new.select(F.col("u").alias("_u"), F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset")))
-            used = new.repartition(parts, "seq").groupBy("seq").agg(F.sum("size").alias("used"))
-            gaps = cut(gaps.repartition(parts, "seq").join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
+            state, n = match(state.filter("kind < 2").select("kind", "key", "size").unionAll(more), lo, hi, n, capacity, spread(spark, n + large + opened))
+            placed.append(state.filter("kind = 2").select(F.col("key").alias("_u"), F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
             if n:
-                left = cut(left.repartition(parts, "u").join(new.select("u").repartition(parts, "u").hint("merge"), "u", "left_anti"))
-                total = left.agg(F.sum("size")).first()[0]
-        # plans, shuffles and broadcasts of the class's rounds would fill the driver's heap
+                total = state.filter("kind = 1").agg(F.sum("size")).first()[0]
+        # plans and shuffles of the class's rounds would fill the driver's heap
         release(spark)
     out = rows.filter(size > half).select(*pieces.columns, F.col("_u").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed:

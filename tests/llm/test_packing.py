@@ -99,6 +99,19 @@ def test_hot_size_ties_and_empty(spark):
     assert pack(df.limit(0), 20).count() == 0
 
 
+def test_rounds_are_few_jobs(spark):
+    # the plans of the jobs fill the driver; with joins in the rounds these were 102
+    df = spark.createDataFrame([(i, 0, 1 + i % 20) for i in range(300)], "doc_id long, piece int, length long")
+    spark.sparkContext.setJobGroup("packing", "packing")
+    try:
+        rows = pack(df, 20).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("packing")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert whole(rows, 20) <= best_fit_decreasing([r.length for r in rows], 20)
+    assert 0 < len(jobs) <= 65
+
+
 def test_texts_as_the_tokenizer_does(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rnd = random.Random(5)
