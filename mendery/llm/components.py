@@ -39,3 +39,14 @@ def connected(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels of connected() after further edges: only edges between components so far go through its rounds."""
+    if labels is None:
+        return cut(connected(edges))
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
+    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    new = cut(connected(between))
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(moved.unionByName(new.join(labels, "node", "left_anti")))
