@@ -14,13 +14,19 @@ group is opened for another:
 - Each group stores its union as counts by ranges of the hash, one or two for
   each token (the largest count of its members). The sum of the lesser counts
   bounds any overlap.
+- Each group stores which of 512 ranges of the hash hold an odd number of tokens in
+  all its members, and which an even number in all. Sets differ by a token at least
+  in each range that is odd in one and even in the other.
 
 Opened groups' members are compared exactly. Only connections matter for
 components: first each group is compared with one group that may link and, by its
-frequent matrix tokens, with a few groups of like size at random, twice; this
-joins large groups of copies. Then all groups that share enough and whose members
-are not yet in one component are compared. Every pair of nodes that links is so
-either compared or already connected.
+frequent matrix tokens, with a few groups of like size at random, twice, and with
+hubs: the groups that have the fewest infrequent tokens, so the least edited ones.
+This joins large groups of copies. Then all groups that share enough and whose
+members are not yet in one component are compared. Every pair of nodes that links
+is so either compared or already connected. Postings of frequent tokens are joined
+between components first, then between groups, each time under the bounds of size
+and of odd ranges, so that edited copies which are too far apart make no rows.
 
 Sets are made anew from the texts where they are needed (two scans) instead of
 being stored: shuffles carry prefixes and counts, and the compressed texts of
@@ -35,10 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mendery.llm.common import arrow_rows, batches_of, cut, read, release, small_batches, trimmed
-from mendery.llm.components import connected
+from mendery.llm.components import joined
 from mendery.llm.textvec import Texts, mix
 
 FEWEST, MOST = 6, 15
+WORDS = 8
 CHARS, MOST_KNOWN = 1_000_000, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,6 +235,17 @@ def loaded(b: bytes) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """One bit for each of 512 hash ranges, in 8 words: whether it holds an odd number of the set's hashes."""
+    return np.packbits((np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def agreed(sets: list[np.ndarray]) -> np.ndarray:
+    """The ranges that are odd in all of some sets' parities (8 words), and those that are even in all."""
+    x = np.stack(sets)
+    return np.concatenate((np.bitwise_and.reduce(x), np.bitwise_and.reduce(~x)))
+
+
 def folded(counts: np.ndarray, n: int) -> np.ndarray:
     """The counts by fewer ranges."""
     return counts.reshape(n, -1).sum(axis=1) if len(counts) > n else counts
@@ -315,18 +333,18 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
             own = []
             for (doc_id, t), s in sets:
                 name = node_of(s) if len(s) else None
-                low, more = None, (None, None)
+                low, more = None, (None, None, None)
                 if name is not None:
                     low = lowest(s)
                     if name not in seen:
                         seen.add(name)
-                        more = (stored(sketch(s)), prefix(s, frequency(s, keys, counts, parts), percent).tobytes())
+                        more = (stored(sketch(s)), prefix(s, frequency(s, keys, counts, parts), percent).tobytes(), parities(s).tobytes())
                 own.append((doc_id, t, len(s), name, low, *more))
-            types = (*[pa.int64()] * 5, pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names=["doc_id", "t", "n", "node", "low", "sketch", "prefix"])
+            types = (*[pa.int64()] * 5, *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names=["doc_id", "t", "n", "node", "low", "sketch", "prefix", "odd"])
 
     with small_batches(spark, 2000):
-        signed = cut(docs.mapInArrow(sign, "doc_id long, t long, n long, node long, low long, sketch binary, prefix binary"))
+        signed = cut(docs.mapInArrow(sign, "doc_id long, t long, n long, node long, low long, sketch binary, prefix binary, odd binary"))
     rows = cut(signed.select("doc_id", "t", "n", "node", "low"))
 
     # groups: nodes with the same smallest hashes, split where there are many; such a hash is dealt by `salts`
@@ -337,8 +355,8 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
     grouped = nodes.withColumn("salt", F.pmod("node", F.lit(salts)).cast("int")).join(big, ["low", "salt"], "left")
     grouped = cut(grouped.select("node", "n", "t", F.xxhash64("low", F.pmod(F.col("node"), F.coalesce("pieces", F.lit(1)))).alias("grp")))
 
-    sketches = signed.filter("sketch IS NOT NULL").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    members = sketches.join(grouped, "node").groupBy("grp").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "t", "sketch", "prefix")])
+    sketches = signed.filter("sketch IS NOT NULL").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
+    members = sketches.join(grouped, "node").groupBy("grp").agg(*[F.collect_list(c).alias(c) for c in ("node", "n", "t", "sketch", "prefix", "odd")])
 
     @trimmed
     def union(batches):
@@ -351,13 +369,13 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
                 first = distinct(np.concatenate([p[: leading(n, percent)] for p, n in zip(prefixes, r["n"], strict=True)]))
                 tokens = np.concatenate((first, np.setdiff1d(np.concatenate(prefixes), first)))
                 whole = r["sketch"][0] if len(r["sketch"]) == 1 else stored(merged([loaded(s) for s in r["sketch"]]))
-                out.append((r["grp"], r["node"], r["t"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes(), len(first)))
+                out.append((r["grp"], r["node"], r["t"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes(), len(first), agreed([np.frombuffer(x, np.int64) for x in r["odd"]])))
             if out:
-                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "texts", "lo", "hi", "total", "slack", "sketch", "tokens", "leads"])
+                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "texts", "lo", "hi", "total", "slack", "sketch", "tokens", "leads", "ranges"])
 
     with small_batches(spark, 1000):
-        groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, texts array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary, leads long"))
+        groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, texts array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary, leads long, ranges array<long>"))
     del signed, sketches, members
     release(spark)
 
@@ -470,9 +488,8 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
     pair = (F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b"), F.least("x.slack", "y.slack").alias("slack"))
     few = matrix.filter(F.col("many") <= hot_posting)
 
-    def signatures(edges: DataFrame) -> DataFrame:
+    def signatures(labels: DataFrame) -> DataFrame:
         """The matrix with each group's component; a group whose members are in several stands for itself."""
-        labels = connected(edges)
         own = groups.select("grp", F.explode("nodes").alias("node")).join(labels, "node", "left").groupBy("grp").agg(F.min(F.coalesce("label", "node")).alias("l1"), F.max(F.coalesce("label", "node")).alias("l2"))
         sig = F.when(F.col("l1") == F.col("l2"), F.struct(F.lit(0).alias("kind"), F.col("l1").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id")))
         return cut(matrix.drop("sig").join(own.select("grp", sig.alias("sig")), "grp"))
@@ -485,35 +502,52 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
         some = F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("token", F.lit(salt))))
         return found.withColumn("i", some).filter(F.col("i") <= each).select(F.least("grp", "p.grp").alias("a"), F.greatest("grp", "p.grp").alias("b")).distinct()
 
-    # first: groups with themselves, with one group of those that share enough, and with a few partners
+    def hubs(each: int = 3) -> DataFrame:
+        """For each group a few others from the postings of its frequent tokens: of each posting's groups of about its size, the one with the fewest infrequent tokens a member."""
+        hot = matrix.filter(F.col("many") > hot_posting).withColumn("size", F.floor(F.log("lo") / float(np.log(100 / percent) if percent < 100 else 1)))
+        rare = (F.col("all") - F.col("n")) / F.col("members")
+        most = hot.groupBy("grp").agg(F.count("*").alias("n")).join(groups.select("grp", (F.length("tokens") / 8).alias("all"), F.size("nodes").alias("members")), "grp").select("grp", F.struct((-rare).alias("rare"), "members", "grp").alias("hub"))
+        hot = hot.join(most, "grp")
+        found = hot.join(hot.groupBy("token", "size").agg(F.max("hub").alias("best")), ["token", "size"]).filter("grp <> best.grp").select("grp", "best").distinct()
+        some = F.row_number().over(W.partitionBy("grp").orderBy(F.desc("best")))
+        return found.withColumn("i", some).filter(F.col("i") <= each).select(F.least("grp", "best.grp").alias("a"), F.greatest("grp", "best.grp").alias("b")).distinct()
+
+    # first: groups with themselves, with one group of those that share enough, and with a few partners and hubs
     alone = groups.filter(F.size("nodes") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     alike = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND {near}")).select(*pair)
     alike = alike.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack")
     one = alike.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("p")).select("p.a", "b")
     matrix = matrix.withColumn("sig", F.struct(F.lit(1).alias("kind"), F.col("grp").alias("id")))
     with small_batches(spark):
-        edges = cut(opened(alone.unionByName(bounded(partners(0).unionByName(one).distinct()))))
+        edges = cut(opened(alone.unionByName(bounded(partners(0).unionByName(one).unionByName(hubs()).distinct()))))
     release(spark)
-    matrix = signatures(edges)
+    labels = joined(None, edges)
+    matrix = signatures(labels)
     with small_batches(spark):
-        edges = cut(edges.unionByName(opened(bounded(partners(1)))))
+        edges = cut(opened(bounded(partners(1))))
     release(spark)
+    labels = joined(labels, edges)
 
     # then: groups that share enough tokens and aren't in one component already
-    matrix = signatures(edges)
+    matrix = signatures(labels)
     few = matrix.filter(F.col("many") <= hot_posting)
     shares = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND x.sig <> y.sig AND {near}")).select(*pair)
-    hot = matrix.filter(F.col("many") > hot_posting)
-    kinds = hot.groupBy("token", "sig").agg(F.max("leads").alias("leads"))
-    across = kinds.alias("x").join(kinds.alias("y"), F.expr("x.token = y.token AND x.sig < y.sig AND (x.leads OR y.leads)")).select("x.token", F.col("x.sig").alias("s"), F.col("y.sig").alias("z"))
-    wide = across.alias("k").join(hot.alias("x"), F.expr("k.token = x.token AND k.s = x.sig")).select(F.col("k.token").alias("t"), "z", F.struct("x.grp", "x.lo", "x.hi", "x.slack", "x.leads").alias("x"))
+    # groups, and whole components as groups of their groups' members, that may link: their odd ranges allow it too
+    # the ranges stay one column: Spark infers constraints for every choice of renamed columns in a condition
+    differ = " + ".join(f"bit_count((x.ranges[{i}] & y.ranges[{i + WORDS}]) | (x.ranges[{i + WORDS}] & y.ranges[{i}]))" for i in range(WORDS))
+    near = f"{near} AND {100 + percent} * ({differ}) <= {100 - percent} * (x.hi + y.hi)"
+    hot = cut(matrix.filter(F.col("many") > hot_posting).join(groups.select("grp", "ranges"), "grp"))
+    both = F.array(*[F.bit_and(F.col("ranges")[i]) for i in range(2 * WORDS)])
+    kinds = cut(hot.groupBy("token", "sig").agg(F.max("leads").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), both.alias("ranges")))
+    whole = lambda s, *more: F.struct(*[F.col(f"{s}.{c}") for c in (*more, "lo", "hi", "leads", "ranges")]).alias(s)
+    across = kinds.alias("x").join(kinds.alias("y"), F.expr(f"x.token = y.token AND x.sig < y.sig AND {near}")).select(F.col("x.token").alias("t"), F.col("x.sig").alias("s"), F.col("y.sig").alias("z"), whole("y"))
+    wide = across.join(hot.alias("x"), F.expr(f"t = x.token AND s = x.sig AND {near}")).select("t", "z", whole("x", "grp", "slack"))
     wide = wide.join(hot.alias("y"), F.expr(f"t = y.token AND z = y.sig AND {near}")).select(*pair)
     counted = shares.unionByName(wide).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b")
     with small_batches(spark):
         more = cut(opened(bounded(counted)))
     release(spark)
-    edges = edges.unionByName(more)
-    labels = connected(edges)
+    labels = joined(labels, more)
 
     final = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     smallest = final.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from oracle import rows as both
 
-from mendery.llm.components import connected
-from mendery.llm.jaccard_join import ORACLE_OP4, components, frequency, least_overlap, loaded, merged, most_shared, op4_group_matrix_join, prefix, shingle_sets, sketch, slack, stored
+from mendery.llm.components import connected, joined
+from mendery.llm.jaccard_join import ORACLE_OP4, WORDS, agreed, components, frequency, least_overlap, loaded, merged, most_shared, op4_group_matrix_join, parities, prefix, shingle_sets, sketch, slack, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,42 @@ def test_sketches_bound_overlaps():
         c = rng.integers(0, 2**63, 700, dtype=np.uint64)
         x, y = loaded(stored(sketch(a))), loaded(stored(merged([sketch(b), sketch(np.unique(c))])))
         assert most_shared(x, y) >= len(np.intersect1d(a, b)) and most_shared(x, x) == len(a)
+
+
+def test_odd_ranges_bound_differences():
+    rng = np.random.default_rng(4)
+    bits = lambda x: int(np.unpackbits(x.view(np.uint8)).sum())
+    for n in (1, 40, 150, 2000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        edited = lambda k: np.unique(np.concatenate((base[min(k, n) :], rng.integers(0, 2**64, k, dtype=np.uint64))))
+        left, right = ([edited(int(k)) for k in rng.integers(0, 30, size)] for size in (3, 2))
+        for a, b in ((left, right), (left[:1], right[:1])):
+            x, y = (agreed([parities(s) for s in sets]) for sets in (a, b))
+            found = bits((x[:WORDS] & y[WORDS:]) | (x[WORDS:] & y[:WORDS]))
+            assert found <= min(len(np.setxor1d(s, t)) for s in a for t in b)
+    # copies with twice as many edits as a link allows are told apart, though they share most of their frequent tokens
+    a, b = (agreed([parities(np.concatenate((base[k : k + 150], rng.integers(0, 2**64, 20, dtype=np.uint64))))]) for k in (0, 40))
+    assert 180 * bits((a[:WORDS] & b[WORDS:]) | (a[WORDS:] & b[:WORDS])) > 20 * 2 * 170
+
+
+def test_edited_copies_of_one_text_against_brute_force(spark):
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(140):
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 2, 2, 3, 4])):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(components(df, 5, 80, group_rows=4, hot_posting=5, frequent=6)) == brute(docs, 5, 80)
+
+
+def test_joined_labels_are_those_of_all_edges(spark):
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(240)]
+    frames = [spark.createDataFrame(x, "u long, v long") for x in (edges[:100], edges[100:101], edges[101:], [])]
+    labels = None
+    for x in frames:
+        labels = joined(labels, x)
+    assert sorted(labels.collect()) == sorted(connected(spark.createDataFrame([e for e in edges if e[0] != e[1]], "u long, v long")).collect())
