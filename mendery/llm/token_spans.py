@@ -33,14 +33,13 @@ def _spans(path: str):
     def compute(pieces: list[str]):
         ids, counts = ids_of(pieces)
         enc = _ranks(path)
-        out, at = np.empty((len(ids), 2), np.int32), 0
-        for p, n in zip(pieces, counts.tolist(), strict=True):
-            ends = np.cumsum([len(enc.decode_single_token_bytes(i)) for i in ids[at : at + n].tolist()])
-            raw = np.frombuffer(p.encode("utf-8", "replace"), np.uint8)
-            char = np.cumsum((raw & 0xC0) != 0x80) - 1  # byte -> character
-            out[at : at + n, 0] = char[np.concatenate(([0], ends[:-1]))]
-            out[at : at + n, 1] = char[ends - 1]
-            at += n
+        known, back = np.unique(ids, return_inverse=True)
+        sizes = np.array([len(enc.decode_single_token_bytes(i)) for i in known.tolist()], np.int64)[back]
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer("".join(pieces).encode("utf-8", "replace"), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # byte -> character
+        base = np.repeat(np.cumsum([0, *map(len, pieces)])[:-1], counts)
+        out = np.stack((char[ends - sizes] - base, char[ends - 1] - base), axis=1).astype(np.int32)
         return out.ravel(), counts * 2
 
     return compute

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from mendery.llm import token_spans as module
 from mendery.llm.token_spans import attribute, line_tokens, op7_token_attribution, token_spans
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +67,22 @@ def test_spans_are_the_tokenizers_offsets():
         at += n
 
 
+def test_each_distinct_token_is_decoded_once(monkeypatch):
+    enc, calls = module._ranks(RANKS), []
+
+    class Counting:
+        def decode_single_token_bytes(self, i):
+            calls.append(i)
+            return enc.decode_single_token_bytes(i)
+
+    monkeypatch.setattr(module, "_ranks", lambda path: Counting())
+    pieces = ["zqxzqx", "zqx", "日本zqx", " zqxzqxzqx"]
+    spans, counts = module._spans(RANKS)(pieces)
+    assert len(calls) == len(set(calls)) < counts.sum() // 2
+    ends = np.split(spans.reshape(-1, 2), np.cumsum(counts // 2)[:-1])
+    assert [(int(x[0, 0]), int(x[-1, 1]) + 1) for x in ends] == [(0, len(p)) for p in pieces]
+
+
 def test_query_sums_to_whole_documents(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     by = defaultdict(list)
