@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,38 @@ def connected(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """The labels of connected() after further edges: only edges between components so far go through its rounds."""
+def at_once(edges: DataFrame) -> DataFrame:
+    """What connected() gives, by one task that holds all of `edges`: for a bounded number of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if held:
+            nodes, back = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+            u, v = back.reshape(2, -1)
+            root = np.arange(len(nodes))  # of each node one in its component that isn't larger
+            while (root[u] != root[v]).any():
+                a, b = root[u], root[v]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def _labels(edges: DataFrame, most: int) -> DataFrame:
+    edges = cut(edges.filter("u <> v").select("u", "v").distinct())
+    return cut(at_once(edges) if edges.count() <= most else connected(edges))
+
+
+def joined(labels: DataFrame | None, edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """The labels of connected() after further edges: only edges between components so far are new to it; up to `most` of them take one task."""
     if labels is None:
-        return cut(connected(edges))
+        return _labels(edges, most)
     of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    new = cut(connected(between))
+    new = _labels(between, most)
     moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     return cut(moved.unionByName(new.join(labels, "node", "left_anti")))

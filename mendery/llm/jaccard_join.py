@@ -25,8 +25,9 @@ hubs: the groups that have the fewest infrequent tokens, so the least edited one
 This joins large groups of copies. Then all groups that share enough and whose
 members are not yet in one component are compared. Every pair of nodes that links
 is so either compared or already connected. Postings of frequent tokens are joined
-between components first, then between groups, each time under the bounds of size
-and of odd ranges, so that edited copies which are too far apart make no rows.
+between components first, then between the nodes themselves, each time under the
+bounds of size and of odd ranges: a node's ranges are all known, so that edited
+copies which are too far apart make no rows, whatever else is in their groups.
 
 Sets are made anew from the texts where they are needed (two scans) instead of
 being stored: shuffles carry prefixes and counts, and the compressed texts of
@@ -369,13 +370,13 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
                 first = distinct(np.concatenate([p[: leading(n, percent)] for p, n in zip(prefixes, r["n"], strict=True)]))
                 tokens = np.concatenate((first, np.setdiff1d(np.concatenate(prefixes), first)))
                 whole = r["sketch"][0] if len(r["sketch"]) == 1 else stored(merged([loaded(s) for s in r["sketch"]]))
-                out.append((r["grp"], r["node"], r["t"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes(), len(first), agreed([np.frombuffer(x, np.int64) for x in r["odd"]])))
+                out.append((r["grp"], r["node"], r["t"], min(r["n"]), max(r["n"]), sum(r["n"]), min(slack(x) for x in r["n"]), whole, tokens.tobytes(), len(first), r["n"], r["prefix"] if len(prefixes) > 1 else [b""], r["odd"]))  # a lone member's prefix is its group's tokens
             if out:
-                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "texts", "lo", "hi", "total", "slack", "sketch", "tokens", "leads", "ranges"])
+                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "nodes", "texts", "lo", "hi", "total", "slack", "sketch", "tokens", "leads", "sizes", "prefixes", "odds"])
 
     with small_batches(spark, 1000):
-        groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, texts array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary, leads long, ranges array<long>"))
+        groups = cut(members.mapInArrow(union, "grp long, nodes array<long>, texts array<long>, lo long, hi long, total long, slack long, sketch binary, tokens binary, leads long, sizes array<long>, prefixes array<binary>, odds array<binary>"))
     del signed, sketches, members
     release(spark)
 
@@ -532,18 +533,45 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, group_rows: int = 6
     matrix = signatures(labels)
     few = matrix.filter(F.col("many") <= hot_posting)
     shares = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND x.sig <> y.sig AND {near}")).select(*pair)
-    # groups, and whole components as groups of their groups' members, that may link: their odd ranges allow it too
+    # nodes, and whole components as groups of their nodes, that may link: their odd ranges allow it too
     # the ranges stay one column: Spark infers constraints for every choice of renamed columns in a condition
     differ = " + ".join(f"bit_count((x.ranges[{i}] & y.ranges[{i + WORDS}]) | (x.ranges[{i + WORDS}] & y.ranges[{i}]))" for i in range(WORDS))
     near = f"{near} AND {100 + percent} * ({differ}) <= {100 - percent} * (x.hi + y.hi)"
-    hot = cut(matrix.filter(F.col("many") > hot_posting).join(groups.select("grp", "ranges"), "grp"))
+
+    @trimmed
+    def postings(batches):
+        """A row for each frequent token of each member's prefix."""
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                hot = np.sort(np.array(r["hot"], np.int64).view(np.uint64))
+                for node, n, p, odd in zip(r["nodes"], r["sizes"], r["prefixes"], r["odds"], strict=True):
+                    p = np.frombuffer(p or r["tokens"], np.uint64)
+                    at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, p), len(hot) - 1)] == p)
+                    ranges = agreed([np.frombuffer(odd, np.int64)])
+                    out += [(t, r["grp"], node, n, n, r["slack"], i < leading(n, percent), ranges) for t, i in zip(p[at].view(np.int64).tolist(), at.tolist(), strict=True)]
+            if out:
+                types = (*[pa.int64()] * 6, pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["token", "grp", "node", "lo", "hi", "slack", "leads", "ranges"])
+
+    hot = matrix.filter(F.col("many") > hot_posting).groupBy("grp").agg(F.collect_list("token").alias("hot"))
+    hot = groups.select("grp", "slack", "nodes", "tokens", "sizes", "prefixes", "odds").join(hot, "grp")
+    with small_batches(spark):
+        hot = hot.mapInArrow(postings, "token long, grp long, node long, lo long, hi long, slack long, leads boolean, ranges array<long>")
+        hot = cut(hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     both = F.array(*[F.bit_and(F.col("ranges")[i]) for i in range(2 * WORDS)])
-    kinds = cut(hot.groupBy("token", "sig").agg(F.max("leads").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), both.alias("ranges")))
+    kinds = cut(hot.groupBy("token", "label").agg(F.max("leads").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), both.alias("ranges")))
     whole = lambda s, *more: F.struct(*[F.col(f"{s}.{c}") for c in (*more, "lo", "hi", "leads", "ranges")]).alias(s)
-    across = kinds.alias("x").join(kinds.alias("y"), F.expr(f"x.token = y.token AND x.sig < y.sig AND {near}")).select(F.col("x.token").alias("t"), F.col("x.sig").alias("s"), F.col("y.sig").alias("z"), whole("y"))
-    wide = across.join(hot.alias("x"), F.expr(f"t = x.token AND s = x.sig AND {near}")).select("t", "z", whole("x", "grp", "slack"))
-    wide = wide.join(hot.alias("y"), F.expr(f"t = y.token AND z = y.sig AND {near}")).select(*pair)
-    counted = shares.unionByName(wide).groupBy("a", "b").agg(F.count("*").alias("m"), F.first("slack").alias("slack")).filter("m >= slack").select("a", "b")
+    across = kinds.alias("x").join(kinds.alias("y"), F.expr(f"x.token = y.token AND x.label < y.label AND {near}")).select(F.col("x.token").alias("t"), F.col("x.label").alias("s"), F.col("y.label").alias("z"), whole("y"))
+    wide = across.join(hot.alias("x"), F.expr(f"t = x.token AND s = x.label AND {near}")).select("t", "z", whole("x", "grp", "node", "slack"))
+    # members of one group have been compared
+    wide = wide.join(hot.alias("y"), F.expr(f"t = y.token AND z = y.label AND x.grp <> y.grp AND {near}")).select(*pair, F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    # two groups' nodes share at most the few tokens of the groups and the frequent ones of the nodes
+    wide = wide.groupBy("a", "b", "slack", "u", "v").agg(F.count("*").alias("m")).groupBy("a", "b", "slack").agg(F.max("m").alias("m"))
+    shares = shares.groupBy("a", "b", "slack").agg(F.count("*").alias("m"))
+    counted = shares.unionByName(wide).groupBy("a", "b", "slack").agg(F.sum("m").alias("m")).filter("m >= slack").select("a", "b")
     with small_batches(spark):
         more = cut(opened(bounded(counted)))
     release(spark)

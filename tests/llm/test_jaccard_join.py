@@ -173,3 +173,44 @@ def test_joined_labels_are_those_of_all_edges(spark):
     for x in frames:
         labels = joined(labels, x)
     assert sorted(labels.collect()) == sorted(connected(spark.createDataFrame([e for e in edges if e[0] != e[1]], "u long, v long")).collect())
+
+
+def test_mixed_groups_make_few_rows(spark, monkeypatch):
+    """Copies that are too far apart for a link and share their smallest hashes, so that groups hold members of many components."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    # the words of the three smallest shingles stay, so all copies have them unless a new shingle is smaller
+    s, order = shingle_sets([" ".join(base)], 5)[0], [shingle_sets([" ".join(base[i : i + 5])], 5)[0][0] for i in range(116)]
+    stays = {i + j for i in (order.index(x) for x in s[:3]) for j in range(5)}
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for at in rnd.sample([x for x in range(120) if x not in stays], rnd.choice([1, 2, 6, 9])):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    made, group = [], type(df).groupBy
+
+    def counted(self, *cols):
+        if [c for c in cols[:2] if isinstance(c, str)] == ["a", "b"]:
+            made.append(self.count())
+        return group(self, *cols)
+
+    monkeypatch.setattr(type(df), "groupBy", counted)
+    out = got(components(df, 5, 80, group_rows=16, hot_posting=5, frequent=6))
+    assert out == brute(docs, 5, 80)
+    # the rows that the joins of tokens make
+    assert max(made) < 500, made
+
+
+def test_edges_at_once_or_in_rounds(spark):
+    rnd = random.Random(10)
+    edges = [(-i, -i - 1) for i in range(200, 260)] + [(rnd.randrange(-300, 300), rnd.randrange(300)) for _ in range(300)] + [(7, 7)]
+    frames = [spark.createDataFrame(x, "u long, v long") for x in (edges[:150], edges[150:], [])]
+    results = []
+    for most in (1000, 0):
+        labels = None
+        for x in frames:
+            labels = joined(labels, x, most)
+        results.append(sorted(labels.collect()))
+    assert results[0] == results[1] == sorted(connected(spark.createDataFrame(edges, "u long, v long")).collect())
