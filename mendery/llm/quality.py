@@ -165,14 +165,29 @@ def train(rows: list[tuple[int, str]], rounds: int = 3, steps: int = 60) -> Mode
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> list[tuple[int, str]]:
-    """About `rows` labelled documents (the fit's bound, at most twice as many), chosen by a hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 16_000_000) -> list[tuple[int, str]]:
+    """About `rows` labelled documents (the fit's bound, at most twice as many), chosen by a hash of doc_id.
+
+    The fit takes place on the driver, so whole texts are taken in the order of that
+    hash, each if it fits into what is left of `chars` characters.
+    """
+    spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("_quality")).dropDuplicates(["doc_id"])
     n = known.count()
     u = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) / 1_000_000
-    some = known.filter(u < min(1.0, rows / max(n, 1))).limit(2 * rows)
-    # a bounded table of ids and labels
-    kept = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(2 * rows)
+    some = known.withColumn("_u", u).filter(F.col("_u") < min(1.0, rows / max(n, 1))).limit(2 * rows)
+    # bounded tables of ids and labels
+    some = spark.createDataFrame(some.collect(), some.schema)
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    sizes = own.groupBy("doc_id", "_u").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size")).collect()
+    fit, left = [], chars
+    for r in sorted(sizes, key=lambda r: (r["_u"], r["doc_id"])):
+        if r["size"] <= left:
+            fit.append((r["doc_id"],))
+            left -= r["size"]
+    if len(fit) < len(sizes):
+        own = own.join(F.broadcast(spark.createDataFrame(fit, some.select("doc_id").schema)), "doc_id", "left_semi")
+    kept = own.limit(2 * rows)
     return sorted((r["_quality"], r["text"] or "") for r in kept.collect())
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from mendery.llm.quality import label_lines, line_stats, op10_crf_quality, score_documents, train
+from mendery.llm.quality import label_lines, line_stats, op10_crf_quality, sample, score_documents, train
 
 GOOD = "The river runs past the old mill and on to the sea.\nPeople walk there in the evening, and some of them fish.\n"
 BAD = "BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!!\n$$$ ### win%%% big&&& ### $$$\n"
@@ -49,3 +49,15 @@ def test_neighbours_lines_and_odd_rows(spark):
 def test_without_both_labels():
     assert np.allclose(train([]).score(["a", ""]), 0.5)
     assert (train([(1, "a")] * 50).score(["x"]) > 0.9).all()
+
+
+def test_sample_of_long_texts_is_bounded(spark):
+    ids = spark.range(30).withColumnRenamed("id", "doc_id")
+    docs = ids.selectExpr("doc_id", "repeat('long text ', 100000 + cast(doc_id AS int)) AS text").unionByName(spark.createDataFrame([(90, "short"), (91, None)], "doc_id long, text string"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    rows = sample(docs, labels)
+    lengths = [len(t) for _, t in rows]
+    assert sum(lengths) <= 16_000_000 and max(lengths) >= 1_000_000 and {y for y, _ in rows} == {0, 1}
+    # whole texts with their labels
+    assert all(t in ("", "short") or (t == "long text " * (len(t) // 10) and y == (len(t) // 10) % 2) for y, t in rows)
+    assert len(sample(docs, labels, chars=40_000_000)) == 32
