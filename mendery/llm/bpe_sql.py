@@ -1,22 +1,28 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries within each partition.
 
 Pieces (matches of the pre-tokeniser pattern) are encoded once for each distinct
-piece. A recursive query holds token-position rows (word, pos, id, next). Each
-step joins neighbouring rows with the merge table, finds each word's leftmost pair
-of minimum rank and contracts it; a word without such a pair rests. The merge
-table is made from the ranks alone: every split of a token into two tokens.
+piece. A recursive query holds token-position rows (pos, word, id). Each step joins
+neighbouring rows with the table of pairs and contracts each word's leftmost pair of
+minimum rank, and every pair that no later merge can disturb; a word without a pair
+rests. The tables are made from the ranks alone: every split of a token into two tokens.
 Decoding joins ids with the vocabulary and aggregates their bytes in order.
 
-What keeps long pieces cheap, with the same ids:
+What keeps steps few and long pieces cheap, with the same ids:
 
 - A boundary of two bytes that no token of the vocabulary has inside can't be
   crossed by a merge, so a piece is contracted in the parts between these.
-- Further pairs of the same rank in a word are contracted in the same step, up to
-  the first whose token makes a pair of lower rank with a neighbour: until then
-  the leftmost pair of minimum rank is the next of these anyway.
-- The recursion is keyed by (word, pos): a step overwrites the rows of the step
+- A pair is contracted early if its rank is below that of every pair which a token
+  that ends in the one before it makes with its first token, or its second one with a
+  token that begins with the one after it: whatever these grow to, they take neither
+  of its tokens first. The token made must be in no pair of a lower rank than its own,
+  so that no merge comes sooner for it than in the plain order.
+- In longer words with few such pairs, further pairs of the minimum rank are
+  contracted in the same step instead, up to the first whose token makes a pair of
+  lower rank with a neighbour: until then the leftmost pair of minimum rank is the
+  next of these anyway.
+- The recursion is keyed by position: a step overwrites the rows of the step
   before, so a query holds one row for each byte of its pieces, which are taken
-  `BYTES` at a time (or one piece).
+  `BYTES` at a time (or one piece, with memory in proportion).
 """
 
 from __future__ import annotations
@@ -41,31 +47,57 @@ JOIN vocab l ON l.hex = substr(v.hex, 1, v.k)
 JOIN vocab r ON r.hex = substr(v.hex, v.k + 1)
 """
 
+#: Of neighbouring tokens: `rank` of the pair; `lone`, the same if the token made is in no pair of a lower rank; `a`, the least
+#: rank that a token which ends in `l` has with `r`; `b`, the least that `l` has with a token which begins with `r`.
+_PAIRS = """
+CREATE TABLE pairs AS
+WITH parts AS (SELECT id, hex, unnest(range(0, length(hex), 2)) AS k FROM vocab),
+ends AS (SELECT p.id, v.id AS part FROM parts p JOIN vocab v ON v.hex = substr(p.hex, p.k + 1)),
+begins AS (SELECT p.id, v.id AS part FROM parts p JOIN vocab v ON v.hex = substr(p.hex, 1, p.k + 2)),
+every AS (
+  SELECT l, r, id AS rank, NULL AS a, NULL AS b FROM merges
+  UNION ALL SELECT e.part, m.r, NULL, m.id, NULL FROM merges m JOIN ends e ON e.id = m.l
+  UNION ALL SELECT m.l, e.part, NULL, NULL, m.id FROM merges m JOIN begins e ON e.id = m.r
+)
+SELECT l, r, coalesce(rank, 2147483647)::INT AS rank, coalesce(CASE WHEN early.id IS NULL THEN rank END, 2147483647)::INT AS lone,
+  coalesce(a, 2147483647)::INT AS a, coalesce(b, 2147483647)::INT AS b
+FROM (SELECT l, r, min(rank) AS rank, min(a) AS a, min(b) AS b FROM every GROUP BY l, r)
+LEFT JOIN (SELECT l AS id FROM merges WHERE id < l UNION SELECT r FROM merges WHERE id < r) early ON early.id = rank
+"""
+
+#: Pairs of a lower rank than one of their tokens.
+_LOWERS = "CREATE TABLE lowers AS SELECT * FROM merges WHERE id < l OR id < r"
+
 #: A step reads the rows of the last one; `n` counts steps, so that rows which stay alike go on too. Id -1 is a row that a
-#: contraction took away. `rank` is the pair's of a row and the next one, `best` the word's least. Words with one such pair
-#: contract it. In the others (`several`), every other pair of a run of neighbouring ones is a site, and `lower` tells whether
-#: the token made there would make a pair of a lower rank with the token before it (or the one made there) or after it;
-#: sites up to the first such one are contracted.
+#: contraction took away. `rank` is the pair's of a row and the next one, `best` the word's least and `first` where it stands
+#: first. `safe` rows are contracted early, `taken` ones follow them. Words of up to 16 rows, or with one safe row in 16, are
+#: `quick`: no two of their safe rows and the first are neighbours. In the others, every other pair of a run of neighbouring
+#: ones of rank `best` is a site, and `lower` tells whether the token made there would make a pair of a lower rank with the
+#: token before it (or the one made there) or after it; sites up to the first such one are contracted.
 _ENCODE = """
-WITH RECURSIVE step(word, pos, id, n) USING KEY (word, pos) AS (
-  SELECT word, pos, id, 0 FROM bytes
+WITH RECURSIVE step(pos, word, id, n) USING KEY (pos) AS (
+  SELECT pos, word, id, 0 FROM bytes
   UNION
   SELECT * FROM (
     WITH live AS MATERIALIZED (
-      SELECT * FROM (
-        SELECT *, min(rank) OVER (PARTITION BY word) AS best
-        FROM (
-          SELECT t.word, t.pos, t.id, t.n, coalesce(m.id, 2147483647) AS rank
-          FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE id >= 0) t
-          LEFT JOIN merges m ON m.l = t.id AND m.r = t.next
-        )
-      ) WHERE best < 2147483647
+      SELECT pos, word, id, n, rank, lag(pos) OVER w AS back, lone < lag(a, 1, 2147483647) OVER w AND lone < lead(b, 1, 2147483647) OVER w AS safe,
+        lag(lone, 1, 2147483647) OVER w < lag(a, 2, 2147483647) OVER w AND lag(lone, 1, 2147483647) OVER w < b AS taken
+      FROM (
+        SELECT t.pos, t.word, t.id, t.n, coalesce(p.rank, 2147483647) AS rank, coalesce(p.lone, 2147483647) AS lone, coalesce(p.a, 2147483647) AS a, coalesce(p.b, 2147483647) AS b
+        FROM (SELECT pos, word, id, n, CASE WHEN lead(word) OVER w = word THEN lead(id) OVER w END AS next FROM step WHERE id >= 0 WINDOW w AS (ORDER BY pos)) t
+        LEFT JOIN pairs p ON p.l = t.id AND p.r = t.next
+      ) WINDOW w AS (ORDER BY pos)
     ),
-    several AS MATERIALIZED (SELECT word FROM live WHERE rank = best GROUP BY word HAVING count(*) > 1),
-    sites AS (
-      SELECT word, pos, id, n, best, rank = best AS site FROM live ANTI JOIN several USING (word)
-      UNION ALL
-      SELECT word, pos, id, n, best, at_site AND coalesce(NOT bool_or(at_site AND lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+    words AS MATERIALIZED (
+      SELECT word, best, first, rows <= 16 OR 16 * sites >= rows AS quick
+      FROM (SELECT word, min(rank) AS best, (min(rank::BIGINT * 2147483648 + pos) % 2147483648)::INT AS first, count(*) AS rows, count(*) FILTER (WHERE safe) AS sites FROM live GROUP BY word)
+      WHERE best < 2147483647
+    )
+    SELECT pos, word, CASE WHEN safe OR pos = first THEN rank WHEN taken OR back = first THEN -1 ELSE id END, n + 1 FROM live JOIN words USING (word) WHERE quick
+    UNION ALL
+    SELECT pos, word, CASE WHEN site THEN best WHEN lag(site, 1, false) OVER (PARTITION BY word ORDER BY pos) THEN -1 ELSE id END, n + 1
+    FROM (
+      SELECT pos, word, id, n, best, at_site AND coalesce(NOT bool_or(at_site AND lower) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS site
       FROM (
         SELECT s.*, (coalesce(b.id < s.best, false) OR coalesce(c.id < s.best, false)) AS lower
         FROM (
@@ -73,40 +105,41 @@ WITH RECURSIVE step(word, pos, id, n) USING KEY (word, pos) AS (
           FROM (
             SELECT *, rank = best AND (row_number() OVER (PARTITION BY word, run, rank = best ORDER BY pos)) % 2 = 1 AS at_site
             FROM (
-              SELECT *, sum(CASE WHEN rank = best THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
-              FROM live SEMI JOIN several USING (word)
+              SELECT live.*, best, sum(CASE WHEN rank = best THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
+              FROM live JOIN words USING (word) WHERE NOT quick
             )
           ) WINDOW w AS (PARTITION BY word ORDER BY pos)
         ) s
-        LEFT JOIN merges b ON s.at_site AND b.l = s.before AND b.r = s.best
-        LEFT JOIN merges c ON s.at_site AND c.l = s.best AND c.r = s.after
+        LEFT JOIN lowers b ON s.at_site AND b.l = s.before AND b.r = s.best
+        LEFT JOIN lowers c ON s.at_site AND c.l = s.best AND c.r = s.after
       )
     )
-    SELECT word, pos, CASE WHEN site THEN best WHEN lag(site, 1, false) OVER (PARTITION BY word ORDER BY pos) THEN -1 ELSE id END, n + 1 FROM sites
   )
 )
-SELECT word, id FROM step WHERE id >= 0 ORDER BY word, pos
+SELECT word, id FROM step WHERE id >= 0 ORDER BY pos
 """
 
 _DECODE = "SELECT unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocab USING (id)"
 
 
 class SqlCodec:
-    """Encodes and decodes by the ranks in a file, with DuckDB on one thread."""
+    """Encodes and decodes by the ranks in a file, with DuckDB on one thread and so many MB, more for a piece above `BYTES`."""
 
-    def __init__(self, path: str, memory: str = "400MB"):
+    def __init__(self, path: str, memory: int = 400):
         import base64
 
         import duckdb
         import pyarrow as pa
 
         # without a folder nothing is written beside Spark's own; queries are small enough
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.memory = memory
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": ""})
         with open(path, "rb") as f:
             ranks = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
         self._table("v", pa.table({"hex": [t.hex().upper() for t, _ in ranks], "id": pa.array([i for _, i in ranks], pa.int32())}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
-        self.con.execute(_MERGES)
+        for made in (_MERGES, _PAIRS, _LOWERS):
+            self.con.execute(made)
         self.byte = np.zeros(256, np.int32)
         self.within = np.zeros((256, 256), bool)  # neighbouring bytes that some token has
         for t, i in ranks:
@@ -135,7 +168,11 @@ class SqlCodec:
         new[1:] |= ~self.within[flat[:-1], flat[1:]]
         part = np.cumsum(new) - 1
         self._table("bytes", pa.table({"word": part.astype(np.int32), "pos": np.arange(len(flat), dtype=np.int32), "id": self.byte[flat]}))
+        if len(flat) > BYTES:
+            self.con.execute(f"SET memory_limit = '{self.memory * len(flat) // BYTES}MB'")
         out = self.con.sql(_ENCODE).to_arrow_table()
+        if len(flat) > BYTES:
+            self.con.execute(f"SET memory_limit = '{self.memory}MB'")
         of = np.repeat(np.arange(len(raw)), n)[np.flatnonzero(new)]  # part -> piece
         return out.column("id").to_numpy(), np.bincount(of[out.column("word").to_numpy()], minlength=len(raw)).astype(np.int64)
 
