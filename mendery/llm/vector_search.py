@@ -10,7 +10,9 @@ on until they hold `rerank` classes. Whole cells are dealt to blocks of about
 `block_rows` classes (a larger cell to several). There asymmetric distance tables
 (query sub-vector by codeword) score all codes of the probed cells, and the best
 `rerank` of a block are scored again exactly, in double precision, from the
-original vectors beside the codes.
+original vectors beside the codes, as are all others that the error of their
+codes doesn't rule out; so nothing is missed within the probed cells, also where
+many vectors share a code.
 
 The centroids, codebooks and the number of probes are fitted on a bounded sample
 (`sample_rows`, or 32 a cell if that is more); every vector is indexed. Queries
@@ -61,6 +63,11 @@ class Index:
         rest = self.split(self.lift(x) - self.coarse[cell])
         return np.stack([((b**2).sum(axis=1)[None] - 2 * rest[:, j] @ b.T).argmin(axis=1) for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector is from what its code stands for, without the added coordinate, which no query has."""
+        made = np.concatenate([b[c] for b, c in zip(self.books, codes.T, strict=True)], axis=1)[:, : x.shape[1]]
+        return np.linalg.norm(x - self.coarse[cell, :-1] - made, axis=1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of codewords and query parts: [parts, 256, queries]."""
         q = self.split(np.pad(queries.astype(np.float64), ((0, 0), (0, 1))))
@@ -263,7 +270,15 @@ def search(df: DataFrame, k: int = 20, every: int = 20, target: float = 0.95, pr
                 codes = np.frombuffer(b"".join(b.column(4)[i].values.to_pylist()), np.uint8).reshape(len(x), -1)
                 firsts = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
                 near = index.approximate(q["x"], q["far"], cell, codes)
-                m = min(rerank, len(x))
+                exact = q["x"].astype(np.float64) @ x.T
+                m = min(max(rerank, k + 1), len(x))
+                best = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                known = np.take_along_axis(np.where(np.isneginf(near), -np.inf, exact), best, axis=1)
+                worst = np.partition(known, m - 1 - k, axis=1)[:, m - 1 - k] if m > k else np.full(len(q), -np.inf)
+                # a code's error bounds how much better its vector can be: none that could be among the best is left out
+                length = np.linalg.norm(q["x"].astype(np.float64), axis=1)[:, None]
+                may = ~np.isneginf(near) & (near + length * (index.errors(x, cell, codes)[None] + 1e-5 * index.norm) >= worst[:, None])
+                near = np.where(may, exact, -np.inf)
                 best = np.argpartition(-near, m - 1, axis=1)[:, :m]
                 score = np.concatenate([np.einsum("qrd,qd->qr", x[best[a : a + 16]], q["x"][a : a + 16].astype(np.float64)) for a in range(0, len(q), 16)])
                 score[np.isneginf(np.take_along_axis(near, best, axis=1))] = -np.inf
